@@ -33,3 +33,13 @@ def current_rows(df: DataFrame, keys: list[str] | str = "id", version: str = "up
     w = Window.partitionBy(*keys).orderBy(F.col(version).desc_nulls_last(), *(F.col(c).desc_nulls_last() for c in ties))
     held = df.where(F.col(keys[-1]).isNotNull()).repartition(*keys)
     return held.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it comes in fewer partitions than there are, as a small single file does.
+
+    Only an input of less than a partition's bytes for each core is ever moved; a large one already has
+    more partitions than cores and stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
