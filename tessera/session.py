@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tessera-ship-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/tessera_package.zip", "w", zipfile.ZIP_DEFLATED) as out:
+        for at, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    whole = os.path.join(at, name)
+                    out.write(whole, os.path.relpath(whole, os.path.dirname(package)))
+    context.addPyFile(f"{folder}/tessera_package.zip")
+    _shipped.add(context.applicationId)
+
+
 class Workspace:
     """Tables written to the shared folder, to cut lineage between the rounds of an iterative job.
 
