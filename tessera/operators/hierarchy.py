@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.skew import heavy_keys, salted_join
-from tessera.session import Workspace
+from tessera.session import Workspace, tasks
 from tessera.sources.tables import current_rows, ref_key
 
 #: Entries of one tree that one sweep handles at a time when paths are written.
@@ -165,7 +165,7 @@ def paths(tree: DataFrame, block: int = SWEEP_BLOCK) -> DataFrame:
     t = tree.where("status = 'tree'").select("id", "root_id", "enter", "leave")
     first, last = F.expr(f"enter div {block}"), F.expr(f"leave div {block}")
     rows = t.withColumn("block", F.explode(F.sequence(first, last))).withColumn("mine", F.col("block") == first)
-    rows = rows.repartition("root_id", "block").sortWithinPartitions("root_id", "block", "enter")
+    rows = rows.repartition(tasks(tree.sparkSession), "root_id", "block").sortWithinPartitions("root_id", "block", "enter")
     return rows.select("root_id", "block", "enter", "leave", "id", "mine").mapInPandas(_sweep, "id string, path array<string>")
 
 

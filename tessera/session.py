@@ -101,3 +101,8 @@ class Workspace:
         where = urlparse(self.root)
         if where.scheme in ("", "file"):
             shutil.rmtree(where.path, ignore_errors=True)
+
+
+def tasks(spark: SparkSession) -> int:
+    """Partitions for stages whose work isn't in proportion to their bytes, which AQE would otherwise merge by size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
