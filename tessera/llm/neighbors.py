@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import Workspace
+from tessera.session import Workspace, tasks
 
 BUCKET = 256  #: Residents of a bucket of unrelated vectors.
 BLOCK = 4096  #: Residents of a bucket that one task compares at a time; larger buckets are split.
@@ -226,7 +226,7 @@ def _candidates(vectors: DataFrame, plan: Plan, keep: int, least: float, ws: Wor
         asking = asking.where("not home or (blocks is not null and salt != " + "pmod(xxhash64(handle), blocks))").withColumn("home", F.lit(False))
         placed = home_row.unionByName(asking).drop("blocks")
     placed = placed.select("bucket", "salt", "home", "ask", "handle", "code")
-    placed = placed.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", F.col("home").desc())
+    placed = placed.repartition(tasks(vectors.sparkSession), "bucket", "salt").sortWithinPartitions("bucket", "salt", F.col("home").desc())
     return placed.mapInArrow(_compare(plan.dims, keep, least), "x long, y long").distinct()
 
 

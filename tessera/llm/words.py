@@ -11,23 +11,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 #: DuckDB: the words of a text, blank-separated, with the differences of look-alike characters removed.
 FOLDED_WORDS = r"trim(regexp_replace(regexp_replace(lower(fold_text(t)), '(\p{Han})', ' \1 ', 'g'), '[^\p{L}\p{N}]+', ' ', 'g'))"
 
-
-def words_of(text: Column) -> Column:
-    """Spark: the words of a text as it is; null gives null."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"), 0)
-
-
-def shingles_of(words: Column, size: int) -> Column:
-    """Spark: the distinct runs of ``size`` consecutive words, as 64-bit hashes; empty if there are fewer words."""
-    run = lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(size)))
-    last = F.size(words) - size
-    return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), last), run))).otherwise(F.array().cast("array<bigint>"))
+#: The same of a text as it is.
+PLAIN_WORDS = r"trim(regexp_replace(regexp_replace(lower({}), '(\p{{Han}})', ' \1 ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+WORD_COUNT = f"coalesce(len(list_filter(string_split({PLAIN_WORDS}, ' '), lambda w: w <> '')), 0)"
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
@@ -54,6 +44,9 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Blank-separated texts: all their words in a row, and where each text begins (one more at the end)."""
     lists = pc.split_pattern(texts, " ")
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
+    if empty.any():  # a text without words has no word, not an empty one
+        lists = pc.if_else(pc.equal(texts, ""), pa.scalar([], pa.list_(pa.string())), lists)
     return lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
 
 
