@@ -101,7 +101,7 @@ def success(cosine: float, plan: Plan, mutual: bool, trials: int = 1500) -> floa
     return float((met | (kv == ku[:, :, :1]).any(axis=2) if mutual else met).mean())
 
 
-def make_plan(n: int, dims: int, cosine: float, recall: float, mutual: bool = True, width: float = 1.5, probes: int = 5, bucket: int = BUCKET) -> Plan:
+def make_plan(n: int, dims: int, cosine: float, recall: float, mutual: bool = True, width: float = 1.5, probes: int = 3, bucket: int = BUCKET) -> Plan:
     rng = np.random.default_rng(5)
     x, y, b = rng.normal(size=200_000), rng.normal(size=200_000), rng.uniform(0, width, 200_000)
     far = float((np.floor((x + b) / width) == np.floor((y + b) / width)).mean())
