@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import charfold_queries, conversations_queries, leaks_queries, neighbors_queries, triejoin_queries
+from tessera.llm import charfold_queries, conversations_queries, leaks_queries, mixing_queries, neighbors_queries, triejoin_queries
 
-_MODULES = [triejoin_queries, conversations_queries, neighbors_queries, leaks_queries, charfold_queries]
+_MODULES = [triejoin_queries, conversations_queries, neighbors_queries, leaks_queries, charfold_queries, mixing_queries]
 
 
 def queries() -> dict[str, Callable]:
