@@ -165,6 +165,8 @@ def walk(n: np.ndarray, pos: np.ndarray, paths: list[np.ndarray], t: float, bloc
     has = np.zeros((len(shingles), m), np.int16)
     np.add.at(has, (inverse, rows), 1)
     upto = np.cumsum(has, axis=0, dtype=np.int16)
+    # Behind a probe's path, its further shingles are unknown: any shingle may be one of them.
+    beyond = (shingles[:, None] > grid.max(axis=1)[None, :]).astype(np.int16)
 
     # A node is a run of rows whose paths are equal up to its level.
     fresh = np.ones((m, depth), bool)
@@ -174,7 +176,7 @@ def walk(n: np.ndarray, pos: np.ndarray, paths: list[np.ndarray], t: float, bloc
 
     rest = n - pos  # shingles of each set from the tree's shingle on
     alive_rows = np.ones(m, bool)
-    overlap = np.zeros((1, m), np.int16)
+    overlap, maybe = np.zeros((1, m), np.int16), np.zeros((1, m), np.int16)
     parent_of = np.zeros(m, np.int64)  # node of the level above, for each row
     found_i, found_j = [], []
     for level in range(depth):
@@ -187,8 +189,10 @@ def walk(n: np.ndarray, pos: np.ndarray, paths: list[np.ndarray], t: float, bloc
         node = np.cumsum(starts) - 1
         heads = live[starts]
         tok = token[heads, level]
-        counts = overlap[parent_of[heads]] + has[tok]
-        left_probe = rest[None, :] - upto[tok]
+        unknown = maybe[parent_of[heads]] + beyond[tok]
+        sure = overlap[parent_of[heads]] + has[tok]
+        counts = sure + unknown
+        left_probe = rest[None, :] - upto[tok] - unknown
         first = np.flatnonzero(starts)
         most_left = np.maximum.reduceat(rest[live] - level - 1, first)
         least_n = np.minimum.reduceat(n[live], first)
@@ -206,7 +210,7 @@ def walk(n: np.ndarray, pos: np.ndarray, paths: list[np.ndarray], t: float, bloc
         alive_rows[live[~keep[node]]] = False
         alive_rows[live[last]] = False
         parent_of[live] = node
-        overlap = counts
+        overlap, maybe = sure, unknown
     if not found_i:
         return none
     i, j = order[np.concatenate(found_i)], order[np.concatenate(found_j)]
