@@ -72,8 +72,12 @@ def _tour(ws: Workspace, forest: DataFrame, salts: int) -> DataFrame:
     """
     rows = forest.count()
     kids = forest.where("p is not null").select("n", "p")
-    flag = F.broadcast(heavy_keys(kids, ["p"], rows).withColumn("__heavy", F.lit(True)))
-    kids = kids.join(flag, "p", "left").withColumn("s", F.when(F.col("__heavy"), F.pmod(F.xxhash64("n"), F.lit(salts))).otherwise(0)).drop("__heavy")
+    heavy = heavy_keys(kids, ["p"], rows)
+    if heavy is None:
+        kids = kids.withColumn("s", F.lit(0).cast("long"))
+    else:
+        flag = F.broadcast(heavy.withColumn("__heavy", F.lit(True)))
+        kids = kids.join(flag, "p", "left").withColumn("s", F.when(F.col("__heavy"), F.pmod(F.xxhash64("n"), F.lit(salts))).otherwise(0).cast("long")).drop("__heavy")
     inner = Window.partitionBy("p", "s").orderBy(F.col("n").desc())
     kids = ws.table(kids.withColumn("next", F.lead("n").over(inner)).withColumn("k", F.row_number().over(inner)), "kids")
     outer = Window.partitionBy("p").orderBy("s")
