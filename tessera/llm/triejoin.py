@@ -151,6 +151,15 @@ def walk(n: np.ndarray, pos: np.ndarray, paths: list[np.ndarray], t: float, bloc
     ``block`` and ``pair`` only pairs between these two blocks are looked at.
     """
     m = len(n)
+    if m == 2:  # two paths need no levels: what they share up to where the shorter ends says it all
+        if pair is not None and pair[0] != pair[1] and block[0] == block[1]:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a, b = paths
+        end = min(a[-1], b[-1])
+        ka, kb = np.searchsorted(a, end, side="right"), np.searchsorted(b, end, side="right")
+        common = min(np.isin(a[:ka], b[:kb]).sum(), np.isin(b[:kb], a[:ka]).sum())
+        possible = common + min(n[0] - pos[0] - ka, n[1] - pos[1] - kb) >= _need(t, n[0], n[1])
+        return (np.array([0]), np.array([1])) if possible else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     lengths = np.fromiter(map(len, paths), np.int64, m)
     depth = int(lengths.max())
     grid = np.full((m, depth), -1, np.int64)
