@@ -92,7 +92,7 @@ def _corpus_pass(docs: DataFrame, doc: str, sought, window: int, size: int) -> D
 def _block(ws: Workspace, docs: DataFrame, doc: str, items: DataFrame, shingles: DataFrame, window: int, size: int) -> DataFrame:
 
     spark = docs.sparkSession
-    sought = np.unique(pa.Table.from_batches(shingles.select("h").distinct().toArrow().to_batches())["h"].to_numpy().view(np.uint64))
+    sought = np.unique(shingles.select("h").distinct().toArrow()["h"].to_numpy().view(np.uint64))
     found = ws.table(_corpus_pass(docs, doc, spark.sparkContext.broadcast(sought), window, size), "pass")
     runs = found.where("key is not null").select("key", "start", "words", "hashes")
     rarity = found.where("h is not null").groupBy("h").agg(F.sum("n").alias("docs"))
