@@ -156,7 +156,7 @@ def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if mine:
                 out_id.append(node)
                 out_path.append([x for _, x in stack])
-        yield pd.DataFrame({"id": out_id, "path": out_path})
+        yield pd.DataFrame({"id": pd.Series(out_id, dtype=object), "path": pd.Series(out_path, dtype=object)})
 
 
 def paths(tree: DataFrame, block: int = SWEEP_BLOCK) -> DataFrame:
