@@ -126,7 +126,10 @@ def _decode(codes: pa.Array, dims: int) -> np.ndarray:
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(np.float32)
+    """The lists as rows of length 1."""
+    x = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1)[:, None]
+    return (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
 
 
 _ROW = pa.schema([("bucket", pa.int64()), ("home", pa.bool_()), ("handle", pa.int64()), ("code", pa.binary())])
@@ -256,8 +259,7 @@ def nearest(df: DataFrame, k: int, dims: int, least_cosine: float | None = None,
     good = good.withColumn("h", F.struct(F.xxhash64("v").alias("handle"), F.hash("v").alias("check")))
     members = ws.table(good.groupBy("id").agg(F.min("h").alias("h"), F.bool_or("query").alias("query")), "members")
     held = members.groupBy("h").agg(F.bool_or("query").alias("query"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    classes = ws.table(good.select("h", "v").dropDuplicates(["h"]).join(held, "h").select("h", F.col("h.handle").alias("handle"), "query", F.transform("v", lambda x: (x / norm).cast("float")).alias("v")), "classes")
+    classes = ws.table(good.select("h", "v").dropDuplicates(["h"]).join(held, "h").select("h", F.col("h.handle").alias("handle"), "query", "v"), "classes")
     n = classes.count()
     if plan is None:
         plan = make_plan(n, dims, least_cosine, recall, mutual=queries is None)
