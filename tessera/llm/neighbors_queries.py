@@ -10,7 +10,7 @@ from tessera.sources.tables import read_table, spread
 
 DIMS = 64
 #: Without a least cosine the five nearest are hardly nearer than the rest, so many wide buckets are visited.
-WIDE = Plan(DIMS, 2.0, 4, 3, 24)
+WIDE = Plan(DIMS, 2.0, 5, 3, 24)
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
