@@ -24,7 +24,7 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], limit: int) ->
     """
     terms = sorted(set(query))
     tokens = docs.select(key, search_tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    tf = [F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"tf{i}") for i, w in enumerate(terms)]
+    tf = [(F.size("t") - F.size(F.array_remove("t", w))).alias(f"tf{i}") for i, w in enumerate(terms)]
     rows = tokens.select(key, F.size("t").alias("n"), *tf)
     stats = rows.agg(F.count("*").alias("n_docs"), F.avg("n").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
