@@ -54,8 +54,7 @@ def _bigrams(chars: Column) -> Column:
 def search_tokens(col: Column | str) -> Column:
     """Words, Han characters, and pairs of neighbouring Han characters, with whatever stands between these left out."""
     han = F.regexp_replace(_c(col), r"[^\p{IsHan}]", "")
-    single = F.when(F.length(han) > 0, F.split(han, "(?!^)")).otherwise(F.array().cast("array<string>"))
-    return F.concat(words(col), single, _bigrams(han))
+    return F.concat(words(col), F.regexp_extract_all(_c(col), F.lit(r"\p{IsHan}"), 0), _bigrams(han))
 
 
 def informative_terms(col: Column | str) -> Column:
