@@ -187,7 +187,7 @@ def _edges(spark, d) -> DataFrame:
 def shared_source_edges(spark, d):
     """Pages that were attached or compiled from the same run: how many runs both have."""
     rows = current(spark, d, RUN_PAGES, "run_id", "source_page_id").select(ref_key("run_id").alias("r"), ref_key("source_page_id").alias("p"))
-    return graph.shared_source_pairs(rows, "p", "r", most=60)
+    return graph.shared_source_pairs(rows, "p", "r")
 
 
 def adamic_adar(spark, d):
