@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import mentions, semantic_terms
+from tessera.functions.text import semantic_terms
+from tessera.session import Workspace
 
 MOST_CHARACTERS = 900
+#: Titles are sought in blocks of about so many bytes (200 and the characters each); more titles take more passes.
+TITLE_BLOCK = 16_000_000
 
 # Markdown's block marks, as regular expressions.
 HEADING = re.compile(r"^(#{1,3})\s+(.+?)\s*$")
@@ -176,23 +181,60 @@ def structural_chunks(docs: DataFrame, key: str, title: str, text: str, most: in
     return picked.mapInPandas(run, f"key {kind}, {CHUNKS}").withColumnRenamed("key", key)
 
 
-def title_links(docs: DataFrame, key: str, space: str, title: str, text: str, shortest: int = 3) -> DataFrame:
+def _letter(c: str) -> bool:
+    return c == "_" or unicodedata.category(c)[0] in "LN"
+
+
+def _title_index(rows: Iterator[tuple]) -> dict:
+    """By space and the title's beginning: titles by length, so that what a place of a text costs doesn't grow with their number."""
+    out: dict = {}
+    for space, title, key in rows:
+        out.setdefault(space, {}).setdefault(key, {}).setdefault(len(title), set()).add(title)
+    return out
+
+
+def _titles_in(text: str, index: dict, width: int) -> set[str]:
+    """The titles that the text holds, both in lower case; an ASCII title must stand between word boundaries."""
+    found = set()
+    for at in range(len(text) - width + 1):
+        for length, titles in index.get(text[at : at + width], {}).items():
+            t = text[at : at + length]
+            if t in titles and t not in found and not (t.isascii() and (at and _letter(text[at - 1]) or at + length < len(text) and _letter(text[at + length]))):
+                found.add(t)
+    return found
+
+
+def title_links(docs: DataFrame, key: str, space: str, title: str, text: str, shortest: int = 3, block: int = TITLE_BLOCK) -> DataFrame:
     """(from, to): documents whose text mentions another's title, within a space.
 
-    Candidates come from an equal join on the title's first word (or first two characters of Han), so only
-    texts that have the word are searched for the title; no text meets all titles.
+    Equal titles of a space are sought once. They are taken in blocks of bounded size, each in one pass over
+    the texts, which aren't shuffled; at each place of a text, titles are looked up by how they begin and by length.
     """
-    first = lambda c: F.regexp_extract(F.lower(c), r"\p{IsHan}{2}|[\p{L}\p{N}]+", 0)
-    titles = docs.where(F.length(F.trim(F.col(title))) >= shortest).select(F.col(space).alias("s"), F.col(key).alias("to"), F.trim(F.col(title)).alias("t"), first(F.col(title)).alias("w")).where("w != ''")
-    low = F.lower(F.col(text))
-    han = F.regexp_extract_all(low, F.lit(r"\p{IsHan}+"), 0)
-    pairs = F.flatten(F.transform(F.filter(han, lambda r: F.length(r) >= 2), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
-    found = F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}&&[^\p{IsHan}]]+"), 0), pairs))
-    known = titles.select("s", "w").distinct()
-    words = docs.where(F.col(text).isNotNull()).select(F.col(space).alias("s"), F.col(key).alias("from"), F.explode(found).alias("w")).join(known, ["s", "w"])
-    met = words.join(titles, ["s", "w"]).where(F.col("from") != F.col("to")).select("from", "to", "t")
-    bodies = docs.select(F.col(key).alias("from"), F.col(text).alias("body"))
-    return met.join(bodies, "from").where(mentions(F.col("body"), F.col("t"))).select("from", "to").distinct()
+    spark, width = docs.sparkSession, max(1, shortest)
+    ws = Workspace(spark)
+    kind, within = docs.schema[key].dataType.simpleString(), docs.schema[space].dataType.simpleString()
+    name = F.lower(F.trim(F.col(title)))
+    titles = ws.table(docs.where(F.length(F.trim(F.col(title))) >= width).where(F.col(space).isNotNull()).select(F.col(space).alias("s"), F.col(key).alias("to"), name.alias("t")).distinct(), "titles")
+    sought = titles.groupBy("s", "t").agg(F.count("*").alias("n")).select("s", "t", F.substring("t", 1, width).alias("w"))
+    sought = ws.table(sought.withColumn("size", F.length("t") + F.lit(200)), "sought")
+    blocks = max(1, -(-(sought.agg(F.sum("size")).first()[0] or 0) // block))
+    bodies = docs.where(F.col(text).isNotNull() & F.col(space).isNotNull()).select(F.col(key).alias("k"), F.col(space).alias("s"), F.lower(F.col(text)).alias("x"))
+
+    def seek(mine):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            index = _title_index(mine.value)
+            for rows in batches:
+                out = [(k, s, t) for k, s, x in zip(rows["k"], rows["s"], rows["x"]) if s in index for t in _titles_in(x, index[s], width)]
+                yield pd.DataFrame(out, columns=["from", "s", "t"])
+
+        return bodies.mapInPandas(run, f"from {kind}, s {within}, t string")
+
+    parts = []
+    for b in range(blocks):
+        mine = sought.where(F.pmod(F.xxhash64("s", "t"), F.lit(blocks)) == b).select("s", "t", "w")
+        parts.append(seek(spark.sparkContext.broadcast([tuple(r) for r in mine.collect()])))
+    met = ws.table(reduce(DataFrame.unionByName, parts), "met")
+    return met.join(titles, ["s", "t"]).where(F.col("from") != F.col("to")).select("from", "to").distinct()
 
 
 def semantic_edges(docs: DataFrame, key: str, text: str, least_anchors: int = 2, least_score: float = 6.0, most: int = 6, common_df: int = 4, common_share: float = 0.65) -> DataFrame:

@@ -249,7 +249,7 @@ def stable_ids(spark, d):
 def title_links(spark, d):
     """Documents that mention another document's title within their space."""
     t = read_table(spark, d, "documents").where("space_id is not null").select("doc_id", "space_id", "title", "text")
-    return compilation.title_links(t.where("length(title) >= 12"), "doc_id", "space_id", "title", "text")
+    return compilation.title_links(spread(t), "doc_id", "space_id", "title", "text")
 
 
 def semantic_edges(spark, d):
