@@ -3,7 +3,7 @@
 Each of several tables hashes a unit vector by Gaussian (2-stable) projections cut into cells. A vector lies
 in one bucket of each table and visits the buckets around it in the order of their estimated success, the
 squared distances to the cells' boundaries that must be crossed. In a bucket, visitors are compared with
-residents on 8-bit codes; what the tables find is merged and ranked again by exact cosine.
+residents on 16-bit codes, and all that the codes' error leaves possible stay; what the tables find is merged and ranked again by exact cosine.
 
 The numbers of projections, tables and probes follow from the number of vectors: projections so that a
 bucket of unrelated vectors has about BUCKET residents, tables so that a pair at the least cosine of
@@ -111,18 +111,26 @@ def make_plan(n: int, dims: int, cosine: float, recall: float, mutual: bool = Tr
 
 
 def _encode(x: np.ndarray) -> pa.Array:
-    """Unit vectors as a float scale and one signed byte for each number."""
+    """Unit vectors as a float scale and a signed number of two bytes for each number."""
     top = np.abs(x).max(axis=1)
-    raw = np.concatenate([(top / 127).astype(np.float32)[:, None].view(np.uint8), np.round(x / top[:, None] * 127).astype(np.int8).view(np.uint8)], axis=1)
+    raw = np.concatenate([(top / 32767).astype(np.float32)[:, None].view(np.uint8), np.round(x / top[:, None] * 32767).astype(np.int16).view(np.uint8)], axis=1)
     width = raw.shape[1]
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, (len(x) + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
 
 
-def _decode(codes: pa.Array, dims: int) -> np.ndarray:
+def _code_error(x: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The most by which a code may be off its vector in length: half a step in each number."""
+    return np.sqrt(x.shape[1]) * scale / 2
+
+
+def _decode(codes: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors, and of each how far it may be from the one that was coded."""
     first, last = codes.offset, codes.offset + len(codes)
     ends = np.frombuffer(codes.buffers()[1], np.int32)[first : last + 1]
-    raw = np.frombuffer(codes.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(codes), dims + 4)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
+    raw = np.frombuffer(codes.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(codes), 2 * dims + 4)
+    scale = np.ascontiguousarray(raw[:, :4]).view(np.float32)
+    x = np.ascontiguousarray(raw[:, 4:]).view(np.int16).astype(np.float32) * scale
+    return x, _code_error(x, scale[:, 0])
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
@@ -159,25 +167,37 @@ def _visits(vectors: DataFrame, plan: Plan) -> DataFrame:
     return vectors.mapInArrow(run, "bucket long, home boolean, handle long, code binary")
 
 
-def _compare(dims: int, keep: int, least: float):
-    """Over rows sorted by (bucket, salt, home first): the best ``keep`` residents of each visitor."""
+def _compare(dims: int, k: int, least: float | None, mutual: bool):
+    """Over rows sorted by (bucket, salt, home first): the residents that may be among the k best of each visitor.
+
+    For vectors x and y with codes off by e and f at most, the codes' product is off by e + f + ef at most. So
+    one of the k best is no further below the k-th best code than twice that. With ``mutual`` a visitor
+    also stays that may be among the k best of a resident, of which only these visitors are known.
+    """
 
-    def best(handle: np.ndarray, home: np.ndarray, ask: np.ndarray, x: np.ndarray) -> list[pa.RecordBatch]:
+    def best(handle: np.ndarray, home: np.ndarray, ask: np.ndarray, x: np.ndarray, off: np.ndarray) -> list[pa.RecordBatch]:
         res, vis, out = np.flatnonzero(home), np.flatnonzero(ask), []
         if len(res) == 0 or len(vis) == 0:
             return out
+        most = off.max()
+        bound = off + most + off * most + 1e-5  # and the rounding of sums
         for at in range(0, len(vis), 1024):
             rows = vis[at : at + 1024]
             s = x[rows] @ x[res].T
             s[handle[rows][:, None] == handle[res][None, :]] = -2
-            if len(res) > keep:
-                cols = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-                s = np.take_along_axis(s, cols, axis=1)
-            else:
-                cols = np.broadcast_to(np.arange(len(res)), s.shape)
-            i, j = np.nonzero(s >= max(least, -1.5))
+            good = s > -1.9
+            if len(res) > k:
+                near = s >= (-np.partition(-s, k - 1, axis=1)[:, k - 1] - 2 * bound[rows])[:, None]
+                if mutual and len(rows) > k:
+                    near |= s >= (-np.partition(-s, k - 1, axis=0)[k - 1] - 2 * bound[res])[None, :]
+                elif mutual:
+                    near[:] = True
+                good &= near
+            if least is not None:
+                good &= s >= least - bound[rows][:, None]
+            i, j = np.nonzero(good)
             if len(i):
-                out.append(pa.RecordBatch.from_arrays([pa.array(handle[rows[i]]), pa.array(handle[res[cols[i, j]]])], ["x", "y"]))
+                out.append(pa.RecordBatch.from_arrays([pa.array(handle[rows[i]]), pa.array(handle[res[j]])], ["x", "y"]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,10 +212,10 @@ def _compare(dims: int, keep: int, least: float):
             if done > 0:
                 handle, home, ask = table["handle"].to_numpy(), table["home"].to_numpy(), table["ask"].to_numpy()
                 code = table["code"].combine_chunks()
-                x = _decode(code if isinstance(code, pa.Array) else code.chunk(0), dims)
+                x, off = _decode(code if isinstance(code, pa.Array) else code.chunk(0), dims)
                 for a, b in zip(edges[:done], edges[1 : done + 1]):
                     if b - a > 1:
-                        yield from best(handle[a:b], home[a:b], ask[a:b], x[a:b])
+                        yield from best(handle[a:b], home[a:b], ask[a:b], x[a:b], off[a:b])
             held = [] if done == len(edges) - 1 else table.slice(int(edges[done])).to_batches()
 
         rows = 0
@@ -211,7 +231,7 @@ def _compare(dims: int, keep: int, least: float):
     return run
 
 
-def _candidates(vectors: DataFrame, plan: Plan, keep: int, least: float, ws: Workspace, every: bool) -> DataFrame:
+def _candidates(vectors: DataFrame, plan: Plan, k: int, least: float | None, ws: Workspace, every: bool) -> DataFrame:
     """(x, y): handles of visitors and residents worth an exact look, each once."""
     rows = _visits(vectors, plan).withColumn("ask", F.lit(True) if every else (~F.col("home") | F.col("bucket").isNull()))
     if not every:  # queries visit their own bucket by a row of their own
@@ -230,7 +250,7 @@ def _candidates(vectors: DataFrame, plan: Plan, keep: int, least: float, ws: Wor
         placed = home_row.unionByName(asking).drop("blocks")
     placed = placed.select("bucket", "salt", "home", "ask", "handle", "code")
     placed = placed.repartition(tasks(vectors.sparkSession), "bucket", "salt").sortWithinPartitions("bucket", "salt", F.col("home").desc())
-    return placed.mapInArrow(_compare(plan.dims, keep, least), "x long, y long").distinct()
+    return placed.mapInArrow(_compare(plan.dims, k, least, every), "x long, y long").distinct()
 
 
 def cosine(a: str, b: str) -> Column:
@@ -263,8 +283,7 @@ def nearest(df: DataFrame, k: int, dims: int, least_cosine: float | None = None,
     n = classes.count()
     if plan is None:
         plan = make_plan(n, dims, least_cosine, recall, mutual=queries is None)
-    keep, least = 2 * k + 4, (least_cosine - 0.02) if least_cosine is not None else -2.0
-    found = _candidates(classes.select("handle", "query", "v"), plan, keep, least, ws, queries is None)
+    found = _candidates(classes.select("handle", "query", "v"), plan, k, least_cosine, ws, queries is None)
     if queries is None:
         found = found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     left, right = classes.select(F.col("handle").alias("x"), F.col("h").alias("hx"), F.col("v").alias("vx"), "query"), classes.select(F.col("handle").alias("y"), F.col("h").alias("hy"), F.col("v").alias("vy"))
@@ -274,8 +293,8 @@ def nearest(df: DataFrame, k: int, dims: int, least_cosine: float | None = None,
     if queries is None:
         pairs = ws.table(pairs, "pairs")
         pairs = pairs.unionByName(pairs.select(F.col("hy").alias("hx"), F.col("hx").alias("hy"), "cosine"))
-    top = Window.partitionBy("hx").orderBy(F.col("cosine").desc(), "hy")
-    pairs = pairs.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).drop("r")
+    top = Window.partitionBy("hx").orderBy(F.col("cosine").desc())  # equal cosines are told apart by id, below
+    pairs = pairs.withColumn("r", F.rank().over(top)).where(F.col("r") <= k).drop("r")
 
     few = members.select("id", "h").withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("r") <= k + 1).select(F.col("id").alias("neighbor_id"), F.col("h").alias("hy"))
     twins = members.groupBy("h").count().where("count > 1").select(F.col("h").alias("hx"), F.col("h").alias("hy"), F.lit(1.0).alias("cosine"))
