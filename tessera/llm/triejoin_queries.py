@@ -12,8 +12,8 @@ from tessera.sources.tables import current_rows, read_table, spread
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current pages that aren't deleted, with title and text together."""
     pages = spread(read_table(spark, sf_dir, "pages").select("id", "title", "text_content", "updated_at", "deleted_at"))
-    live = current_rows(pages).where("deleted_at is null and text_content is not null")
-    return live.select("id", "text_content", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), "text_content").alias("whole"))
+    live = current_rows(pages).where("deleted_at is null")
+    return live.select("id", "text_content", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text_content", F.lit(""))).alias("whole"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +22,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of pages by shingles of five words and a similarity of 0.8."""
-    members, links = similar_sets(shingle_sets(_pages(spark, sf_dir), "id", "whole", 5), 0.8)
+    """Groups of pages by shingles of five words and a similarity of 0.8; every live page has a row.
+
+    A null title or text counts as empty. Pages of fewer than five words are only like those of the same words.
+    """
+    members, links = similar_sets(shingle_sets(_pages(spark, sf_dir), "id", "whole", 5, short=True), 0.8)
     return near_duplicate_groups(members, links).withColumnRenamed("key", "page_id")
 
 

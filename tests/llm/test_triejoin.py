@@ -1,6 +1,5 @@
 import random
 
-import numpy as np
 import pytest
 
 from tessera.llm import triejoin as tj
@@ -42,25 +41,6 @@ def test_no_link_is_lost(spark, monkeypatch, t, seed, vocabulary, size, block):
     assert {tuple(r) for r in tj.similar_pairs(members, links).collect()} == brute(sets, t)
 
 
-def test_walk_keeps_every_pair_that_may_qualify():
-    """The walk alone against all pairs, trees of several sets with paths of different ends."""
-    rng = np.random.default_rng(0)
-    for t in (0.5, 0.6, 0.8):
-        for _ in range(60):
-            m = int(rng.integers(2, 9))
-            base = np.unique(rng.integers(1, 80, 40))
-            sets = [np.unique(np.concatenate([[0], rng.choice(base, int(rng.integers(10, len(base))), replace=False), rng.integers(1, 80, 3)])) for _ in range(m)]
-            n = np.array([len(s) for s in sets])
-            paths = [s[: int(len(s) - np.ceil(t * len(s) - 1e-6) + 1)].astype(np.int32) for s in sets]
-            i, j = tj.walk(n, np.zeros(m, np.int64), paths, t)
-            got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
-            for a in range(m):
-                for b in range(a):
-                    common = len(np.intersect1d(sets[a], sets[b]))
-                    if common >= t * (n[a] + n[b] - common) - 1e-9:
-                        assert (b, a) in got
-
-
 def test_groups_and_copies(spark):
     s = lambda *x: [v * 1_000_003 for v in x]
     rows = [("a", s(*range(1, 21))), ("b", s(*range(1, 21))), ("c", s(*range(2, 22))), ("d", s(*range(4, 24))), ("e", s(100, 101)), ("f", s(*range(6, 26)))]
