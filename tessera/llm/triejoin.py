@@ -28,8 +28,8 @@ from tessera.session import Workspace, tasks
 #: Counters of rarity. The table is broadcast as the slots in use, five bytes each (80 MB at most), so it
 #: grows with the input up to this bound; beyond it rare shingles are ordered less well, with the same result.
 WIDTH = 1 << 24
-DEPTH = 10  #: Shingles of a path.
-SIGNATURE = 256  #: Bits of a set's signature.
+DEPTH = 8  #: Shingles of a path.
+SIGNATURE = 512  #: Bits of a set's signature.
 BLOCK = 2048  #: Stored sets of a trie that one task walks; larger tries are split.
 SLICE = 1 << 20  #: Shingles that a task orders at a time.
 _END = 0xFFFFFFFF  #: Behind a set's last shingle.

@@ -36,7 +36,7 @@ def test_subtrees_are_left_as_a_whole():
     """Two families below one shingle: a set of one leaves the other's subtree without looking at its sets."""
     rng = np.random.default_rng(1)
     family = lambda low: [np.unique(np.concatenate([[0], np.arange(low, low + 90), rng.integers(low + 90, low + 100, 4)])) for _ in range(30)]
-    sets = family(1) + family(1129)
+    sets = family(1) + family(1137)
     tries = tj.Tries(np.zeros(60, np.int64), rows_of(sets, 0.6), 0.6)
     x, _ = tries.pairs()
     assert tries.seen["left in a subtree"] >= 2 * 30 * 30 and tries.seen["pairs"] == 60 * 60 and len(x) == 2 * 30 * 29 // 2
