@@ -32,6 +32,7 @@ DEPTH = 8  #: Shingles of a path.
 SIGNATURE = 512  #: Bits of a set's signature.
 BLOCK = 2048  #: Stored sets of a trie that one task walks; larger tries are split.
 SLICE = 1 << 20  #: Shingles that a task orders at a time.
+FEW = 200_000  #: Rows of one or two numbers or keys that are still broadcast (some 20 MB).
 _END = 0xFFFFFFFF  #: Behind a set's last shingle.
 
 
@@ -347,9 +348,15 @@ def similar_sets(sets: DataFrame, t: float, width: int = WIDTH, ws: Workspace |
     held = ws.table(sets.select("key", F.xxhash64("s").alias("handle"), F.hash("s").alias("check"), "s"), "sets")
     ids = held.groupBy("handle", "check").agg(F.min("key").alias("class_id"))
     members = ws.table(held.select("key", "handle", "check").join(ids, ["handle", "check"]).select("key", "class_id"), "members")
-    # Copies leave; they are found by their narrow rows, and sets aren't written a second time.
-    classes = held.join(members.where("key != class_id").select("key"), "key", "left_anti").select(F.col("key").alias("class_id"), "handle", "s")
+    # Copies leave. If few, their keys go to all tasks; else the sets that stay are written once more.
+    copies = members.where("key != class_id").select("key")
+    few = copies.count() <= FEW
+    classes = held.join(F.broadcast(copies) if few else copies, "key", "left_anti").select(F.col("key").alias("class_id"), "handle", "s")
+    classes = classes if few else ws.table(classes, "classes")
     near = ws.table(_candidates(ws, classes, t, width), "near")
+    if near.count() <= FEW:  # then only sets of candidates are moved
+        ends = near.select(F.explode(F.array("x", "y")).alias("handle")).distinct()
+        classes = classes.join(F.broadcast(ends), "handle", "left_semi")
     a = classes.select(F.col("handle").alias("x"), F.col("class_id").alias("ca"), F.col("s").alias("sa"))
     b = classes.select(F.col("handle").alias("y"), F.col("class_id").alias("cb"), F.col("s").alias("sb"))
     both = near.join(a, "x").join(b, "y").withColumn("common", F.size(F.array_intersect("sa", "sb")))
