@@ -50,26 +50,57 @@ def brute(rows):
     return set(chats) - set(kept), kept
 
 
-@pytest.mark.parametrize("seed,days", [(1, 1), (2, 1), (3, 30)])
-def test_against_brute_force(spark, seed, days):
+@pytest.mark.parametrize("seed,size,floor", [(1, 64, None), (2, 2, None), (3, 3, 6)])
+def test_against_brute_force(spark, seed, size, floor):
     rows = make(seed)
     df = spark.createDataFrame(rows, SCHEMA)
     dropped, kept = brute(rows)
-    assert {r.chat_id for r in c.broken_chats(df, days).collect()} == dropped
+    assert {r.chat_id for r in c.broken_chats(df, size, 2, floor).collect()} == dropped
     got = {}
-    for r in c.conversations(df, days).orderBy("chat_id", "turn").collect():
+    for r in c.conversations(df, size, 2, floor).orderBy("chat_id", "turn").collect():
         got.setdefault(r.chat_id, []).append((r.role, r.content))
     assert got == kept
 
 
-def test_crowded_spans_are_cut(spark):
-    rows = [(f"m{i:04}", "c", ("user", "assistant")[i % 2], f"t{i}", START + timedelta(seconds=i), START, None, "x") for i in range(400)]
-    turns = c.turns_of(spark.createDataFrame(rows, SCHEMA), content=False)
-    frags = c.fragments(turns, most=50)
-    assert frags.count() >= 8 and frags.agg({"n": "sum"}).first()[0] == 400
-    assert [r.kept for r in c.assembled(c._summary(frags)).collect()] == [True]
-    broken = c._summary(frags.where("span.piece != 3"))
-    assert [r.kept for r in c.assembled(broken).collect()] == [False]  # a gap
+@pytest.mark.parametrize("lost", [None, 123])
+def test_a_chat_of_many_messages(spark, monkeypatch, lost):
+    """Cut into spans of time that meet in seams; a reply that is missing in the middle breaks it."""
+    monkeypatch.setattr(c, "PIECES", 7)
+    rows = [(f"m{i:04}", "c", ("user", "assistant", "tool")[i % 3] if i % 3 < 2 else "tool", f"t{i}", START + timedelta(seconds=i), START, None, "x") for i in range(399) if i != lost]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert c.broken_chats(df, 10, 2, 50).count() == (0 if lost is None else 1)
+    got = [r.message_id for r in c.conversations(df, 10, 2, 50).orderBy("turn").collect()]
+    assert got == ([r[0] for r in rows] if lost is None else [])
+
+
+def frags(*exports, chat="c"):
+    """Exports as strings of messages; a capital letter is a user's."""
+    return [(chat, f"e{k}", p, m, "user" if m.isupper() else "assistant") for k, e in enumerate(exports) for p, m in enumerate(e)]
+
+
+GIVEN = [
+    (["AbC", "bCdE", "dEf"], "AbCdEf"),  # overlaps of several messages
+    (["dEf", "AbC", "bCdE"], "AbCdEf"),  # the order of exports doesn't matter
+    (["AbCd", "AbCd", "CdEf"], "AbCdEf"),  # one doubled
+    (["AbCdEf", "bCd"], "AbCdEf"),  # one within another
+    (["AbCd", "bCdE", "CdEf"], "AbCdEf"),  # an edge that two others lead along
+    (["AbC", "dEf"], ""),  # one missing between them
+    (["AbCd", "CdEf", "CdGh"], ""),  # two go on from one place
+    (["AbCd", "XyCd", "CdEf"], ""),  # two lead to one place
+    (["AbCd", "CdAb"], ""),  # a circle
+    (["AbC", "CDe"], ""),  # one path, but a reply is missing
+    (["Ab"], "Ab"),
+]
+
+
+def test_given_fragments(spark, monkeypatch):
+    monkeypatch.setattr(c, "STRETCH", 3)
+    rows = [r for k, (exports, _) in enumerate(GIVEN) for r in frags(*exports, chat=f"c{k}")]
+    df = spark.createDataFrame(rows, "chat_id string, export string, pos int, message_id string, role string")
+    got = {}
+    for r in c.conversations_of_fragments(df).orderBy("chat_id", "turn").collect():
+        got[r.chat_id] = got.get(r.chat_id, "") + r.message_id
+    assert got == {f"c{k}": want for k, (_, want) in enumerate(GIVEN) if want}
 
 
 def test_empty(spark):
