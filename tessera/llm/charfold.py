@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.skew import heavy_keys, salted_join
+from tessera.session import Workspace
+
 # Cyrillic and Greek letters that look like a Latin one, each above the letter it looks like.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХԌԚԜҮӀасеіјорѕухԁԛԝһѵѴ"
 CYR_LATIN = "ABESIJKMHOPCTYXGQWYIaceijopsyxdqwhvV"
@@ -139,23 +142,31 @@ def look_alike_classes(keys: DataFrame, key: str) -> DataFrame:
     form_id is the smallest key that reads the same, spelling_id the smallest with the very same text.
     Counted by spelling before the form's rows meet, so a text copied many times is one row by then.
     """
+    keys = Workspace(keys.sparkSession).table(keys, "keys")
     spellings = keys.groupBy("form", "spelling").agg(F.min(key).alias("spelling_id"))
     forms = spellings.groupBy("form").agg(F.min("spelling_id").alias("form_id"), F.count("*").alias("n_spellings"))
-    return keys.join(spellings.join(forms, "form"), ["form", "spelling"]).select(key, "form_id", "spelling_id", "n_spellings")
+    both = spellings.join(forms, "form")
+    heavy = heavy_keys(keys, ["form", "spelling"], keys.count())
+    return salted_join(keys, both, ["form", "spelling"], heavy, [key], how="inner").select(key, "form_id", "spelling_id", "n_spellings")
 
 
 def look_alike_pairs(keys: DataFrame, key: str) -> DataFrame:
     """(key_a, key_b): records that read the same but differ as strings, each pair once, the smaller first.
 
     Spellings that meet in a form are paired first; records join by spelling then, so that copies of one
-    text never meet each other.
+    text never meet each other. A text copied very often is spread over several tasks. Texts are brought to
+    their form once, their digests are kept.
     """
-    spellings = keys.select("form", "spelling").distinct()
+    ws = Workspace(keys.sparkSession)
+    keys = ws.table(keys, "keys")
+    spellings = ws.table(keys.groupBy("form", "spelling").agg(F.count("*").alias("copies")), "spellings")
     mixed = spellings.groupBy("form").count().where("count > 1").select("form")
-    some = keys.join(mixed, "form", "left_semi")
-    s = some.select("form", "spelling").distinct()
+    s = ws.table(spellings.join(mixed, "form", "left_semi"), "mixed")
     pairs = s.select("form", F.col("spelling").alias("sa")).join(s.select("form", F.col("spelling").alias("sb")), "form").where("sa < sb")
-    a = some.select(F.col("form"), F.col("spelling").alias("sa"), F.col(key).alias("ka"))
-    b = some.select(F.col("form"), F.col("spelling").alias("sb"), F.col(key).alias("kb"))
-    met = pairs.join(a, ["form", "sa"]).join(b, ["form", "sb"])
+    some = keys.join(s.select("form", "spelling"), ["form", "spelling"], "left_semi")
+    rows = s.agg(F.sum("copies")).first()[0] or 0
+    a = some.select("form", F.col("spelling").alias("sa"), F.col(key).alias("ka"))
+    b = some.select("form", F.col("spelling").alias("sb"), F.col(key).alias("kb"))
+    first = salted_join(a, pairs, ["form", "sa"], heavy_keys(a, ["form", "sa"], rows), ["ka"], how="inner", hint=None)
+    met = salted_join(b, first, ["form", "sb"], heavy_keys(b, ["form", "sb"], rows), ["kb"], how="inner", hint=None)
     return met.select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b"))
