@@ -33,7 +33,7 @@ def test_against_brute_force(spark, block):
             parts += w[a : a + rng.randrange(8, 30)]
         docs.append((d, " ".join(parts + rng.choices(vocabulary, k=5))))
     docs += [(500, None), (501, ""), (502, docs[0][1]), (0, docs[0][1]), (None, "x")]
-    got = leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_shingles=block)
+    got = leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_windows=block)
     assert sorted((r.doc_id, r.item_id) for r in got.collect()) == sorted(brute([x for x in docs if x[0] is not None], items))
 
 
@@ -48,3 +48,14 @@ def test_spelling_does_not_matter(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert leaked_items(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_no_items_and_several_texts_of_one(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words), 0), (2, " ".join(words[30:]), 0)], "doc_id long, text string, item_id int")
+    none = spark.createDataFrame([], "item_id long, text string")
+    few = spark.createDataFrame([(1, "too short")], "item_id long, text string")
+    assert leaked_items(docs, none).count() == 0 and leaked_items(docs, few).count() == 0
+    two = spark.createDataFrame([(7, " ".join(words[:20])), (7, " ".join(words[35:50])), (8, " ".join(words))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.item_windows) for r in leaked_items(docs, two, block_windows=20).collect()}
+    assert got == {(1, 7): (11, 11), (2, 7): (3, 11), (1, 8): (48, 48), (2, 8): (18, 48)}
