@@ -3,11 +3,13 @@
 Each of several tables hashes a unit vector by Gaussian (2-stable) projections cut into cells. A vector lies
 in one bucket of each table and visits the buckets around it in the order of their estimated success, the
 squared distances to the cells' boundaries that must be crossed. In a bucket, visitors are compared with
-residents on 16-bit codes, and all that the codes' error leaves possible stay; what the tables find is merged and ranked again by exact cosine.
+residents on 12-bit codes, and all that the codes' error leaves possible stay; what the tables find is merged
+and ranked again by exact cosine.
 
 The numbers of projections, tables and probes follow from the number of vectors: projections so that a
 bucket of unrelated vectors has about BUCKET residents, tables so that a pair at the least cosine of
-interest is found with the given probability, estimated by simulation. The index holds every vector.
+interest is found with the given probability, estimated by simulation. Without a least cosine, the cosines of
+the nearest come from an exact search for a few of the queries. The index holds every vector.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ from pyspark.sql import functions as F
 
 from tessera.session import Workspace, tasks
 
-BUCKET = 256  #: Residents of a bucket of unrelated vectors.
+BUCKET = 1024  #: Residents of a bucket of unrelated vectors.
 BLOCK = 4096  #: Residents of a bucket that one task compares at a time; larger buckets are split.
-TEMPLATES = 96  #: Perturbations whose estimated success is compared for each vector.
+TEMPLATES = 96  #: Perturbations whose estimated success is compared for each vector; more if more are visited.
+SAMPLED = 128  #: Queries by whose exact neighbours an index without a least cosine is laid out.
 
 
 @dataclass(frozen=True)
@@ -38,6 +41,10 @@ class Plan:
     probes: int
     seed: int = 7
 
+    @property
+    def shapes(self) -> np.ndarray:
+        return templates(self.projections, max(TEMPLATES, self.probes + self.probes // 2))
+
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rng = np.random.default_rng(self.seed)
         n = self.tables * self.projections
@@ -63,7 +70,7 @@ def templates(m: int, most: int = TEMPLATES) -> np.ndarray:
 def bucket_keys(x: np.ndarray, plan: Plan, arrays=None, shapes=None) -> np.ndarray:
     """(n, tables, probes) keys: the vector's own bucket first, then those around it in estimated success order."""
     a, b, primes = arrays or plan.arrays()
-    shapes = templates(plan.projections) if shapes is None else shapes
+    shapes = plan.shapes if shapes is None else shapes
     m, out = plan.projections, np.zeros((len(x), plan.tables, plan.probes), np.uint64)
     p = (x @ a + b) / plan.width
     cell = np.floor(p)
@@ -101,36 +108,91 @@ def success(cosine: float, plan: Plan, mutual: bool, trials: int = 1500) -> floa
     return float((met | (kv == ku[:, :, :1]).any(axis=2) if mutual else met).mean())
 
 
-def make_plan(n: int, dims: int, cosine: float, recall: float, mutual: bool = True, width: float = 1.5, probes: int = 3, bucket: int = BUCKET) -> Plan:
+def make_plan(n: int, dims: int, cosine: float, recall: float, mutual: bool = True, width: float = 1.5, probes: int = 2, bucket: int | None = None) -> Plan:
     rng = np.random.default_rng(5)
     x, y, b = rng.normal(size=200_000), rng.normal(size=200_000), rng.uniform(0, width, 200_000)
     far = float((np.floor((x + b) / width) == np.floor((y + b) / width)).mean())
-    m = max(2, round(math.log(max(1.0, n / bucket)) / math.log(1 / far)))
+    m = max(2, round(math.log(max(1.0, n / (bucket or BUCKET))) / math.log(1 / far)))
     s = success(cosine, Plan(dims, width, m, 2, probes), mutual)
     return Plan(dims, width, m, max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(s, 0.999)))), probes)
 
 
+def plan_for_queries(n: int, dims: int, cosines: np.ndarray, recall: float, width: float = 2.0, most_tables: int = 12, trials: int = 400) -> tuple[Plan, float]:
+    """The plan that visits the smallest share of all vectors, and that share, if its neighbours have these cosines.
+
+    For several numbers of projections and probes, how often a pair meets is simulated at some cosines; the
+    tables follow from the recall that is wanted on average over ``cosines``.
+    """
+    rng = np.random.default_rng(11)
+    u, w, z = (rng.normal(size=(trials, dims)) for _ in range(3))
+    u, z = (y / np.linalg.norm(y, axis=1)[:, None] for y in (u, z))
+    w -= (w * u).sum(axis=1)[:, None] * u
+    w /= np.linalg.norm(w, axis=1)[:, None]
+    grid = np.array([0.0, 0.2, 0.35, 0.45, 0.55, 0.65, 0.8, 0.9, 1.0])
+    best = None
+    base = make_plan(n, dims, 0.9, 0.5, False, width, 1).projections
+    for m in range(max(2, base - 2), base + 9, 2):
+        for probes in (16, 64, 256):
+            plan = Plan(dims, width, m, 1, probes)
+            visited = bucket_keys(u.astype(np.float32), plan)[:, 0]
+            homes = [bucket_keys((c * u + math.sqrt(1 - c * c) * w).astype(np.float32), Plan(dims, width, m, 1, 1))[:, 0, 0] for c in grid]
+            met = np.interp(cosines, grid, [float((visited == h[:, None]).any(axis=1).mean()) for h in homes])
+            far = bucket_keys(z.astype(np.float32), Plan(dims, width, m, 1, 1))[:, 0, 0]
+            one = float(np.mean([np.isin(far, v).mean() for v in visited]))
+            for tables in range(1, most_tables + 1):
+                if np.mean(1 - (1 - met) ** tables) >= recall:
+                    share = 1 - (1 - one) ** tables
+                    if best is None or share < best[1]:
+                        best = Plan(dims, width, m, tables, probes), share
+                    break
+    return best or (Plan(dims, width, 1, most_tables, 3), 1.0)
+
+
+def sampled_cosines(classes: DataFrame, k: int, dims: int, sampled: int = SAMPLED) -> np.ndarray:
+    """The cosines of the k nearest of ``sampled`` queries (those of smallest handle), exact, over all vectors."""
+    few = classes.where("query").orderBy("handle").limit(sampled).select("v").toArrow()
+    if not len(few):
+        return np.zeros(0)
+    asked = classes.sparkSession.sparkContext.broadcast(_matrix(few["v"].combine_chunks()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(asked.value), k + 1), -2.0)
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                s = asked.value @ _matrix(b.column("v").slice(at, 4096)).T
+                best = -np.partition(-np.concatenate([best, s], axis=1), k, axis=1)[:, : k + 1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(best)), k + 1)), pa.array(best.ravel())], ["q", "c"])
+
+    found = classes.select("v").mapInArrow(run, "q long, c double").where("c > -2")
+    top = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.col("c").desc()))).where(f"r between 2 and {k + 1}")  # the first is the query itself
+    return top.toArrow()["c"].to_numpy()
+
+
 def _encode(x: np.ndarray) -> pa.Array:
-    """Unit vectors as a float scale and a signed number of two bytes for each number."""
+    """Unit vectors as a scale, the length of the code's error, and 12 bits for each number."""
     top = np.abs(x).max(axis=1)
-    raw = np.concatenate([(top / 32767).astype(np.float32)[:, None].view(np.uint8), np.round(x / top[:, None] * 32767).astype(np.int16).view(np.uint8)], axis=1)
+    scale = (top / 2047).astype(np.float32)
+    q = np.clip(np.round(x / scale[:, None]), -2047, 2047)
+    off = (np.linalg.norm(x - q * scale[:, None], axis=1) * (1 + 1e-5) + 1e-6).astype(np.float32)
+    q = (q + 2048).astype(np.uint16)
+    if q.shape[1] % 2:
+        q = np.concatenate([q, np.zeros((len(q), 1), np.uint16)], axis=1)
+    a, b = q[:, 0::2], q[:, 1::2]
+    bits = np.stack([a & 255, (a >> 8) | ((b & 15) << 4), b >> 4], axis=2).astype(np.uint8).reshape(len(x), -1)
+    raw = np.concatenate([scale[:, None].view(np.uint8), off[:, None].view(np.uint8), bits], axis=1)
     width = raw.shape[1]
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, (len(x) + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
 
 
-def _code_error(x: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """The most by which a code may be off its vector in length: half a step in each number."""
-    return np.sqrt(x.shape[1]) * scale / 2
-
-
 def _decode(codes: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors, and of each how far it may be from the one that was coded."""
+    """The vectors, and of each how far it is from the one that was coded."""
     first, last = codes.offset, codes.offset + len(codes)
     ends = np.frombuffer(codes.buffers()[1], np.int32)[first : last + 1]
-    raw = np.frombuffer(codes.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(codes), 2 * dims + 4)
-    scale = np.ascontiguousarray(raw[:, :4]).view(np.float32)
-    x = np.ascontiguousarray(raw[:, 4:]).view(np.int16).astype(np.float32) * scale
-    return x, _code_error(x, scale[:, 0])
+    raw = np.frombuffer(codes.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(codes), -1)
+    head = np.ascontiguousarray(raw[:, :8]).view(np.float32)
+    x, y, z = (raw[:, 8 + i :: 3].astype(np.int16) for i in range(3))
+    q = np.stack([x | ((y & 15) << 8), (y >> 4) | (z << 4)], axis=2).reshape(len(codes), -1)[:, :dims]
+    return (q - 2048).astype(np.float32) * head[:, :1], head[:, 1]
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
@@ -150,7 +212,7 @@ def _visits(vectors: DataFrame, plan: Plan) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays, shapes = plan.arrays(), templates(plan.projections)
+        arrays, shapes = plan.arrays(), plan.shapes
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
@@ -167,6 +229,21 @@ def _visits(vectors: DataFrame, plan: Plan) -> DataFrame:
     return vectors.mapInArrow(run, "bucket long, home boolean, handle long, code binary")
 
 
+def _homes(vectors: DataFrame, plan: Plan) -> DataFrame:
+    """(bucket): of every vector its own bucket of each table, and nothing else."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = Plan(plan.dims, plan.width, plan.projections, plan.tables, 1, plan.seed)
+        arrays = one.arrays()
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                keys = bucket_keys(_matrix(b.column("v").slice(at, 4096)), one, arrays, one.shapes)
+                bucket, n = np.unique(keys.ravel().view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n.astype(np.int64))], ["bucket", "n"])
+
+    return vectors.select("v").mapInArrow(run, "bucket long, n long")
+
+
 def _compare(dims: int, k: int, least: float | None, mutual: bool):
     """Over rows sorted by (bucket, salt, home first): the residents that may be among the k best of each visitor.
 
@@ -238,7 +315,7 @@ def _candidates(vectors: DataFrame, plan: Plan, k: int, least: float | None, ws:
         rows = rows.unionByName(_visits(vectors.where("query"), Plan(plan.dims, plan.width, plan.projections, plan.tables, 1, plan.seed)).withColumn("home", F.lit(False)).withColumn("ask", F.lit(True)))
     # Buckets of more than BLOCK residents are split into blocks of residents; their visitors go to each block.
     own = F.pmod(F.xxhash64("handle"), F.col("blocks")).cast("int")
-    crowded = _visits(vectors.withColumn("query", F.lit(False)), Plan(plan.dims, plan.width, plan.projections, plan.tables, 1, plan.seed)).groupBy("bucket").count().where(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    crowded = _homes(vectors, plan).groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     crowded = ws.table(crowded, "crowded")
     if crowded.isEmpty():
         placed = rows.withColumn("salt", F.lit(0))
@@ -269,7 +346,8 @@ def nearest(df: DataFrame, k: int, dims: int, least_cosine: float | None = None,
     """(id, neighbor_id, rank, cosine): the k most similar vectors of each vector, or of those for which ``queries`` holds.
 
     With ``least_cosine`` only neighbours at least that similar are given, and the index is made so that a
-    pair of that cosine is found with probability ``recall``; without, pass a ``plan``. Vectors that aren't
+    pair of that cosine is found with probability ``recall``; without, so that ``recall`` of the k nearest are
+    found, going by the exact neighbours of SAMPLED queries. Vectors that aren't
     usable have no row and are nobody's neighbour. Repeated rows of an id count once (of different vectors
     of one id, that of the smallest hash). Equal cosines are ranked by id. Vectors that are equal are
     indexed once and expanded at the end, at most k + 1 of each, which is all that k neighbours can show.
@@ -281,8 +359,10 @@ def nearest(df: DataFrame, k: int, dims: int, least_cosine: float | None = None,
     held = members.groupBy("h").agg(F.bool_or("query").alias("query"))
     classes = ws.table(good.select("h", "v").dropDuplicates(["h"]).join(held, "h").select("h", F.col("h.handle").alias("handle"), "query", "v"), "classes")
     n = classes.count()
-    if plan is None:
+    if plan is None and least_cosine is not None:
         plan = make_plan(n, dims, least_cosine, recall, mutual=queries is None)
+    elif plan is None:
+        plan, _ = plan_for_queries(n, dims, sampled_cosines(classes, k, dims), recall)
     found = _candidates(classes.select("handle", "query", "v"), plan, k, least_cosine, ws, queries is None)
     if queries is None:
         found = found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.neighbors import Plan, nearest
+from tessera.llm.neighbors import nearest
 from tessera.sources.tables import read_table, spread
 
 DIMS = 64
-#: Without a least cosine the five nearest are hardly nearer than the rest, so many wide buckets are visited.
-WIDE = Plan(DIMS, 2.0, 5, 3, 24)
+RECALL = 0.96  #: Of the five nearest without a least cosine, as laid out.
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +24,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every chunk whose id, its last eight hexadecimal digits as a number, is divisible by 50."""
     asked = F.conv(F.substring("id", -8, 8), 16, 10).cast("long") % 50 == 0
-    return nearest(_chunks(spark, sf_dir), 5, DIMS, queries=asked, plan=WIDE)
+    return nearest(_chunks(spark, sf_dir), 5, DIMS, recall=RECALL, queries=asked)
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_neighbors)}

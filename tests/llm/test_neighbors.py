@@ -45,19 +45,33 @@ def test_equal_vectors_and_crowded_buckets(spark, monkeypatch):
     assert len({(r.id, r.neighbor_id) for r in got} & want) >= 0.97 * len(want) and len(got) == 200
 
 
-def test_recall_of_the_wide_index(spark):
+def test_recall_without_a_least_cosine(spark):
     """Five nearest among vectors without near pairs: at least nine tenths are found."""
     from pyspark.sql import functions as F
 
-    from tessera.llm.neighbors_queries import WIDE
+    from tessera.llm.neighbors_queries import RECALL
 
     x = np.random.default_rng(2).normal(size=(3000, 64)).astype(np.float32)
     ids = [f"v{i:04}" for i in range(len(x))]
     df = spark.createDataFrame([(i, v.tolist(), 1, "q") for i, v in zip(ids, x)], SCHEMA)
-    got = {(r.id, r.neighbor_id) for r in nb.nearest(df, 5, 64, queries=F.col("id").endswith("00"), plan=WIDE).collect()}
+    got = {(r.id, r.neighbor_id) for r in nb.nearest(df, 5, 64, recall=RECALL, queries=F.col("id").endswith("00")).collect()}
     want = {p for p in brute(ids, x.astype(np.float64), 5, -1) if p[0].endswith("00")}
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_codes_are_as_far_off_as_they_say():
+    for dims in (64, 33):
+        x = np.random.default_rng(3).normal(size=(500, dims)).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        y, off = nb._decode(nb._encode(x), dims)
+        assert (np.linalg.norm(x - y, axis=1) <= off).all() and off.max() < 0.002
+
+
+def test_a_larger_share_is_left_out_as_vectors_grow():
+    """The k-th neighbour of more vectors is nearer, and fewer of them are visited."""
+    shares = [nb.plan_for_queries(n, 64, np.full(5, c), 0.95)[1] for n, c in ((3000, 0.42), (75_000, 0.5), (10_000_000, 0.62))]
+    assert shares[0] > shares[1] > shares[2]
+
+
 def test_empty(spark):
     assert nb.nearest(spark.createDataFrame([], SCHEMA), 5, 64, least_cosine=0.9).count() == 0
