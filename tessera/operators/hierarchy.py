@@ -135,8 +135,9 @@ def hierarchy(nodes: DataFrame, ws: Workspace | None = None, salts: int = 32) ->
     roots = spans.where("depth = 0").select("root", F.col("id").alias("root_id"), F.col("grp").alias("root_grp"))
     trees = salted_join(spans, roots, ["root"], heavy_keys(spans, ["root"], spans.count()), ["n"], salts, how="inner", hint=None)
     trees = trees.select("id", "grp", "root_id", "root_grp", "depth", "enter", "leave", F.expr("(leave - enter - 1) div 2").alias("n_descendants"), F.lit("tree").alias("status"), "n", "p")
+    rows = cyclic.count()
     rest = (
-        cyclic.join(circles, "a").join(numbered.withColumnRenamed("n", "v"), "v").join(on.select(F.col("a").alias("v"), F.lit(True).alias("on")), "v", "left")
+        salted_join(cyclic, circles, ["a"], heavy_keys(cyclic, ["a"], rows), ["v"], salts, how="inner", hint=None).join(numbered.withColumnRenamed("n", "v"), "v").join(on.select(F.col("a").alias("v"), F.lit(True).alias("on")), "v", "left")
         .select("id", "grp", "root_id", F.lit(None).cast("string").alias("root_grp"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("long").alias("enter"), F.lit(None).cast("long").alias("leave"), F.lit(None).cast("long").alias("n_descendants"), F.when(F.col("on"), "circle").otherwise("below").alias("status"), F.col("v").alias("n"), "p")
     )
     return trees.unionByName(rest)
@@ -147,30 +148,66 @@ def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     at, stack = None, []
     for rows in batches:
         out_id, out_path = [], []
-        for root, block, enter, leave, node, mine in zip(rows.root_id, rows.block, rows.enter, rows.leave, rows.id, rows.mine):
+        for root, block, enter, leave, node, label, mine in zip(rows.root_id, rows.block, rows.enter, rows.leave, rows.id, rows.label, rows.mine):
             if (root, block) != at:
                 at, stack = (root, block), []
             while stack and stack[-1][0] < enter:
                 stack.pop()
-            stack.append((leave, node))
+            stack.append((leave, label))
             if mine:
                 out_id.append(node)
                 out_path.append([x for _, x in stack])
         yield pd.DataFrame({"id": pd.Series(out_id, dtype=object), "path": pd.Series(out_path, dtype=object)})
 
 
-def paths(tree: DataFrame, block: int = SWEEP_BLOCK) -> DataFrame:
-    """(id, path): the ids from the root to each node of a tree, from the intervals alone.
+def paths(tree: DataFrame, block: int = SWEEP_BLOCK, label: str = "id") -> DataFrame:
+    """(id, path): the labels, by default the ids, from the root to each node of a tree, from the intervals alone.
 
     A tree is swept in blocks of ``block`` entry numbers; a node is repeated in the later blocks that its
     interval reaches into, so each block begins with its open ancestors and a huge tree is shared by many
     tasks. Cyclic nodes have no path and no row here.
     """
-    t = tree.where("status = 'tree'").select("id", "root_id", "enter", "leave")
+    t = tree.where("status = 'tree'").select("id", "root_id", "enter", "leave", F.col(label).alias("label"))
     first, last = F.expr(f"enter div {block}"), F.expr(f"leave div {block}")
     rows = t.withColumn("block", F.explode(F.sequence(first, last))).withColumn("mine", F.col("block") == first)
     rows = rows.repartition(tasks(tree.sparkSession), "root_id", "block").sortWithinPartitions("root_id", "block", "enter")
-    return rows.select("root_id", "block", "enter", "leave", "id", "mine").mapInPandas(_sweep, "id string, path array<string>")
+    return rows.select("root_id", "block", "enter", "leave", "id", "label", "mine").mapInPandas(_sweep, "id string, path array<string>")
+
+
+def _inherit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (root_id, block, enter, marks first); keeps the stack of open marks with what holds below each."""
+    at, stack = None, []
+    for rows in batches:
+        out = []
+        for root, block, enter, leave, depth, node, name, every, nearest in zip(rows.root_id, rows.block, rows.enter, rows.leave, rows.depth, rows.id, rows.name, rows.every, rows.nearest):
+            if (root, block) != at:
+                at, stack = (root, block), []
+            while stack and stack[-1][0] < enter:
+                stack.pop()
+            if node is None:
+                stack.append((leave, depth, name, bool(every) and (not stack or stack[-1][3]), bool(nearest)))
+            elif stack:
+                _, above, name, every, nearest = stack[-1]
+                own = above == depth
+                out.append((node, len(stack), own, len(stack) > own, name, depth - above, every, nearest))
+        yield pd.DataFrame(out, columns=["id", "n_marks", "direct", "inherited", "name", "distance", "every", "nearest"])
+
+
+def inherited_marks(tree: DataFrame, marks: DataFrame, block: int = SWEEP_BLOCK) -> DataFrame:
+    """(id, n_marks, direct, inherited, name, distance, every, nearest): the nodes that have a mark or are below one.
+
+    marks: id, name, every, nearest, at most one row for each node. n_marks of them are at the node (direct) or
+    at nodes above it (inherited); ``every`` is true if it is in all of them; name, nearest and distance (in
+    steps up) are of the nearest. Only marks are repeated in the blocks that their intervals reach into; a node
+    is one row, so the work doesn't grow with the depth of trees. Cyclic nodes have no row.
+    """
+    t = tree.where("status = 'tree'").select("id", "root_id", "enter", "leave", "depth")
+    first, last = F.expr(f"enter div {block}"), F.expr(f"leave div {block}")
+    own = t.select("root_id", first.alias("block"), "enter", "leave", "depth", F.lit(1).alias("kind"), "id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("boolean").alias("every"), F.lit(None).cast("boolean").alias("nearest"))
+    mark = t.join(marks, "id").withColumn("block", F.explode(F.sequence(first, last)))
+    mark = mark.select("root_id", "block", "enter", "leave", "depth", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("id"), "name", "every", "nearest")
+    rows = own.unionByName(mark).repartition(tasks(tree.sparkSession), "root_id", "block").sortWithinPartitions("root_id", "block", "enter", "kind")
+    return rows.drop("kind").mapInPandas(_inherit, "id string, n_marks int, direct boolean, inherited boolean, name string, distance int, every boolean, nearest boolean")
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import error_message, informative_terms, sha, stable_uuid, title_key, trigram_similarity, trigrams
 from tessera.functions.vectors import cosine
 from tessera.operators import acl, compilation, graph, incremental, retrieval
-from tessera.operators.hierarchy import hierarchy, page_nodes, paths
+from tessera.operators.hierarchy import hierarchy, inherited_marks, page_nodes, paths
 from tessera.operators.relational import divides, first_rows
 from tessera.plans.listing_queries import CUR, KEY, RUN_PAGES, current, live_pages
 from tessera.session import Workspace
@@ -92,20 +92,27 @@ def tree_closure(spark, d):
     return closure_of(spark, d, Workspace(spark))[1]
 
 
+def tree_of(spark, d) -> DataFrame:
+    ws = Workspace(spark)
+    return ws.table(hierarchy(page_nodes(read_table(spark, d, "pages")), ws), "tree")
+
+
 def breadcrumbs(spark, d):
     """Each page's titles from the root down."""
-    ws = Workspace(spark)
-    _, closure = closure_of(spark, d, ws)
-    titles = current(spark, d, "pages", "title").select(F.col("id").alias("ancestor_id"), F.coalesce("title", F.lit("untitled")).alias("title"))
-    g = closure.join(titles, "ancestor_id").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("o"), "title"))).alias("c"))
-    return g.select("page_id", F.concat_ws(" > ", F.transform("c", lambda x: x["title"])).alias("crumbs"))
+    titles = current(spark, d, "pages", "title").select("id", F.coalesce("title", F.lit("untitled")).alias("title"))
+    return paths(tree_of(spark, d).join(titles, "id"), label="title").select(F.col("id").alias("page_id"), F.concat_ws(" > ", "path").alias("crumbs"))
+
+
+def _marked(spark, d, tree: DataFrame, flag: str) -> DataFrame:
+    """The pages for which a condition on current rows holds, or holds for a page above."""
+    rows = current(spark, d, "pages", "is_locked", "deleted_at").where(flag)
+    return inherited_marks(tree, rows.select("id", F.col("id").alias("name"), F.lit(True).alias("every"), F.lit(True).alias("nearest")))
 
 
 def pruned_descent(spark, d):
     """Pages reached from the roots without passing a locked page; a locked page isn't reached itself."""
-    _, closure = closure_of(spark, d, Workspace(spark))
-    locked = current(spark, d, "pages", "is_locked").where("is_locked").select(F.col("id").alias("ancestor_id"))
-    return closure.select("page_id").distinct().join(closure.join(locked, "ancestor_id", "left_semi").select("page_id"), "page_id", "left_anti")
+    tree = tree_of(spark, d)
+    return tree.where("status = 'tree'").select("id").join(_marked(spark, d, tree, "is_locked").select("id"), "id", "left_anti").select(F.col("id").alias("page_id"))
 
 
 def export_names(spark, d):
@@ -117,18 +124,14 @@ def export_names(spark, d):
 
 def retention_purge(spark, d):
     """Pages deleted more than 30 days before a given day, with all their descendants."""
-    _, closure = closure_of(spark, d, Workspace(spark))
-    old = current(spark, d, "pages", "deleted_at").where("deleted_at < timestamp_ntz'2026-03-01' - interval 30 days").select(F.col("id").alias("ancestor_id"))
-    return closure.join(old, "ancestor_id", "left_semi").select("page_id").distinct()
+    return _marked(spark, d, tree_of(spark, d), "deleted_at < timestamp_ntz'2026-03-01' - interval 30 days").select(F.col("id").alias("page_id"))
 
 
-def _acl(spark, d):
-    ws = Workspace(spark)
-    _, closure = closure_of(spark, d, ws)
+def _access(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Restrictions of pages, and who is granted them."""
     access = current(spark, d, "page_access", "page_id").withColumn("page_id", ref_key("page_id"))
     granted = acl.principals(current(spark, d, "page_permissions", "page_access_id", "user_id", "group_id", "role").withColumn("page_access_id", ref_key("page_access_id")))
-    pages = closure.where("depth = 0").select("page_id")
-    return pages, ws.table(acl.requirements(closure, access), "needed"), granted
+    return access, granted
 
 
 def _who(spark, d) -> list[str]:
@@ -139,30 +142,50 @@ def _who(spark, d) -> list[str]:
 
 
 def acl_access(spark, d):
-    pages, needed, granted = _acl(spark, d)
-    return acl.page_access(pages, needed, granted, _who(spark, d))
+    return acl.page_access(tree_of(spark, d), acl.restrictions(*_access(spark, d), _who(spark, d)))
 
 
 def acl_nearest(spark, d):
-    return acl.nearest_restriction(_acl(spark, d)[1])
+    return acl.nearest_restriction(tree_of(spark, d), acl.restrictions(*_access(spark, d), []))
 
 
 def acl_readers(spark, d):
-    _, needed, granted = _acl(spark, d)
-    return acl.readers(needed, granted)
+    """Who may read the pages below each restriction. Users count as members of the groups that share a restriction of theirs."""
+    access, granted = _access(spark, d)
+    ws = Workspace(spark)
+    tree, granted = tree_of(spark, d), ws.table(granted.distinct(), "granted")
+    marks = ws.table(acl.restrictions(access, granted, []), "marks")
+    # Of each restricted page, the restricted pages at and above it: only these paths are made.
+    t = tree.join(marks.select("id", "name"), "id")
+    above = paths(t).join(marks.select("id", "name"), "id").select(F.col("name").alias("page_access_id"), F.explode("path").alias("page_id"))
+    pairs = [granted.where(f"principal like '{k}:%'").select("page_access_id", F.substring("principal", 3, 1000).alias(c)) for k, c in (("u", "user_id"), ("g", "group_id"))]
+    members = pairs[0].join(pairs[1], "page_access_id").select("user_id", "group_id").distinct()
+    return acl.readers(above, access, granted, members)
+
+
+def restricted_subtree(spark, d):
+    """Pages of the five largest trees that some restriction holds for, their own or one above."""
+    tree = tree_of(spark, d)
+    roots = tree.where("depth = 0").orderBy(F.col("n_descendants").desc(), "id").limit(5).select("root_id")
+    some = tree.join(F.broadcast(roots), "root_id", "left_semi")  # five rows
+    return acl.nearest_restriction(some, acl.restrictions(*_access(spark, d), [])).select("page_id")
+
+
+def share_lookup(spark, d):
+    """The nearest page at or above each page that is locked, which stands for a shared one, and how far up it is."""
+    tree = tree_of(spark, d)
+    return _marked(spark, d, tree, "is_locked").select(F.col("id").alias("page_id"), F.col("name").alias("share_page_id"), F.col("distance").alias("level"))
 
 
 def acl_chunks(spark, d):
     """Chunks whose page, and with it every restriction above, is readable."""
-    pages, needed, granted = _acl(spark, d)
     lineage = read_table(spark, d, "knowledge_chunks").where("stale_at is null").select(F.col("id").alias("chunk_id"), ref_key("knowledge_page_id").alias("page_id"))
-    return acl.readable_chunks(lineage, acl.page_access(pages, needed, granted, _who(spark, d)))
+    return acl.readable_chunks(lineage, acl_access(spark, d))
 
 
 def readable_parents(spark, d):
     """Parents with at least one readable child."""
-    pages, needed, granted = _acl(spark, d)
-    ok = acl.page_access(pages, needed, granted, _who(spark, d)).where("can_read").select(F.col("page_id").alias("id"))
+    ok = acl_access(spark, d).where("can_read").select(F.col("page_id").alias("id"))
     kids = live_pages(spark, d, "parent_page_id").withColumn("parent_id", ref_key("parent_page_id")).where("parent_id is not null")
     return kids.join(ok, "id", "left_semi").select("parent_id").distinct()
 
@@ -321,7 +344,7 @@ def daily_digests(spark, d):
 
 
 _NAMES = (
-    bm25_topk, dense_topk_cosine, title_hits, hybrid_rrf, hybrid_relevant, trigram_titles, context_pack, catalog_candidates, tree_closure, breadcrumbs, pruned_descent, export_names, retention_purge, acl_access, acl_nearest, acl_readers, acl_chunks, readable_parents, full_coverage,
+    bm25_topk, dense_topk_cosine, title_hits, hybrid_rrf, hybrid_relevant, trigram_titles, context_pack, catalog_candidates, tree_closure, breadcrumbs, pruned_descent, export_names, retention_purge, acl_access, acl_nearest, acl_readers, acl_chunks, readable_parents, restricted_subtree, share_lookup, full_coverage,
     shared_source_edges, adamic_adar, derived_edges, capped_edges, graph_communities, degree_insights, two_hop_expand, chunks_structural, chunk_validation, content_hash_dedupe, stable_ids, title_links, semantic_edges, contribution_actions, stale_chunks, policy_hash, author_migration, debounce_bursts, due_bursts, cooldown_passed, history_throttle, type_changes, daily_digests,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -342,10 +365,11 @@ _ACL = f""", need as (select c.page_id, a.id as aid, c.depth from clo c join (se
 perm as (select {KEY.format('page_access_id')} as aid, user_id, group_id, role from {CUR.format('page_permissions')}),
 prin as (select aid, 'u:' || user_id as who, role from perm where user_id is not null union all select aid, 'g:' || group_id, role from perm where group_id is not null),
 mine as (select aid, bool_or(role = 'writer') as wr from prin where who in ((select 'u:' || min(user_id) from page_permissions), (select 'g:' || min(group_id) from page_permissions)) group by 1),
-pa as (select page_id, bool_and(m.aid is not null) as r, bool_and(coalesce(wr, false)) as w from need n left join mine m on m.aid = n.aid group by 1),
-acc as (select id as page_id, p.page_id is not null as restricted, coalesce(r, true) as can_read, coalesce(w, true) as can_edit from walk left join pa p on p.page_id = id)"""
+per as (select n.page_id, n.depth, bool_and(m.aid is not null) as r, bool_or(coalesce(m.wr, false)) as w from need n left join mine m on m.aid = n.aid group by 1, 2),
+pa as (select page_id, min(depth) = 0 as direct, max(depth) > 0 as inherited, bool_and(r) as r, arg_min(w, depth) as w from per group by 1),
+acc as (select id as page_id, coalesce(direct, false) as direct, coalesce(inherited, false) as inherited, coalesce(r, true) as can_read, coalesce(r and w, true) as can_edit from walk left join pa p on p.page_id = id)"""
 _EDGE = f"ed as (select id as a, key as b from (select id, {KEY.format('parent_page_id')} as key from {CUR.format('pages')}) where key is not null), und as (select distinct least(a, b) as a, greatest(a, b) as b from ed where a <> b), nb as (select a as node, b as other from und union all select b, a from und)"
-_SHARED = f"sl as (select distinct {KEY.format('source_page_id')} as n, {KEY.format('run_id')} as s from {CUR.format(RUN_PAGES)}), sk as (select s from sl where n is not null and s is not null group by 1 having count(*) <= 60), sh as (select x.n as a, y.n as b, count(*) as shared from sl x join sl y on x.s = y.s and x.n < y.n join sk on sk.s = x.s group by 1, 2)"
+_SHARED = f"sl as (select distinct {KEY.format('source_page_id')} as n, {KEY.format('run_id')} as s from {CUR.format(RUN_PAGES)}), sh as (select x.n as a, y.n as b, count(*) as shared from sl x join sl y on x.s = y.s and x.n < y.n group by 1, 2)"
 _AA = "dw as (select node, 1 / ln(greatest(count(*), 2)) as w from nb group by 1), aa as (select x.other as a, y.other as b, round(sum(w), 6) as score from nb x join nb y on x.node = y.node and x.other < y.other join dw on dw.node = x.node group by 1, 2)"
 _BURST = "b as (select *, sum(n) over (partition by user_id order by ts, event_id) as g from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 2 hours then 0 else 1 end as n from events where ts is not null and user_id is not null)), bu as (select user_id, count(*) as change_count, min(ts) as first_changed_at, max(ts) as last_changed_at, max(ts) + interval 2 hours as eligible_at from b group by user_id, g)"
 SQL = {
@@ -364,13 +388,21 @@ SQL = {
     "retention_purge": _CLO + f" select distinct page_id from clo join {CUR.format('pages')} p on p.id = ancestor_id where p.deleted_at < timestamp '2026-03-01' - interval 30 days",
     "acl_access": _CLO + _ACL + " select * from acc",
     "acl_nearest": _CLO + _ACL + " select page_id, aid as page_access_id, depth from need qualify row_number() over (partition by page_id order by depth, aid) = 1",
-    "acl_readers": _CLO + _ACL + " select n.page_id, who as principal from (select distinct page_id, aid from need) n join (select distinct aid, who from prin) p on p.aid = n.aid group by 1, 2 having count(*) = (select count(distinct aid) from need x where x.page_id = n.page_id)",
+    "acl_readers": _CLO
+    + _ACL
+    + """, mem as (select distinct u.user_id, g.group_id from perm u join perm g on u.aid = g.aid where u.user_id is not null and g.group_id is not null),
+held as (select aid, user_id from perm where user_id is not null union select p.aid, m.user_id from perm p join mem m on m.group_id = p.group_id),
+own as (select page_id, min(aid) as name from need where depth = 0 group by 1),
+req as (select distinct o.name as page_access_id, n.aid from own o join need n on n.page_id = o.page_id)
+select r.page_access_id, h.user_id from req r join held h on h.aid = r.aid group by 1, 2 having count(*) = (select count(*) from req x where x.page_access_id = r.page_access_id)""",
+    "restricted_subtree": _CLO + _ACL + ", size as (select ancestor_id as root, count(*) as n from clo where ancestor_id in (select id from node where parent is null) group by 1 order by n desc, root limit 5) select distinct need.page_id from need join clo on clo.page_id = need.page_id join size on size.root = clo.ancestor_id",
+    "share_lookup": _CLO + f" select page_id, ancestor_id as share_page_id, depth as level from clo join {CUR.format('pages')} p on p.id = ancestor_id where is_locked qualify row_number() over (partition by page_id order by depth) = 1",
     "acl_chunks": _CLO + _ACL + f" select c.id as chunk_id, bool_and(coalesce(can_read, false)) as readable from (select id, {KEY.format('knowledge_page_id')} as pid from knowledge_chunks where stale_at is null) c left join acc on acc.page_id = c.pid group by 1",
     "readable_parents": _CLO + _ACL + f" select distinct {KEY.format('parent_page_id')} as parent_id from {_LIVE} p join acc on acc.page_id = p.id where can_read and parent_id is not null",
     "full_coverage": f"with r as (select {KEY.format('run_id')} as run_id, source_page_id as s, status from {CUR.format(RUN_PAGES)}) select run_id, bool_and(coalesce(s in (select s from r where status = 'succeeded' and s is not null and run_id is not null), false)) as complete from r where run_id is not null group by 1",
     "shared_source_edges": f"with {_SHARED} select * from sh",
     "adamic_adar": f"with {_EDGE}, {_AA} select * from aa",
-    "derived_edges": f"with {_EDGE}, {_AA}, {_SHARED}, j as (select coalesce(sh.a, aa.a) as a, coalesce(sh.b, aa.b) as b, coalesce(shared, 0) as shared, coalesce(score, 0) as score from sh full join aa on sh.a = aa.a and sh.b = aa.b) select a, b, round(4.0::double * shared + 1.5::double * score, 3) as weight, case when shared > 0 and score > 0 then 'both' when shared > 0 then 'source' else 'neighbour' end as reason from j where (a, b) not in (select a, b from und)",
+    "derived_edges": f"with {_EDGE}, {_AA}, {_SHARED}, j as (select coalesce(sh.a, aa.a) as a, coalesce(sh.b, aa.b) as b, coalesce(shared, 0) as shared, coalesce(score, 0) as score from sh full join aa on sh.a = aa.a and sh.b = aa.b) select a, b, round(4.0::double * shared + 1.5::double * score + 0.5, 3) as weight, case when shared > 0 and score > 0 then 'both' when shared > 0 then 'source' else 'neighbour' end as reason from j where (a, b) not in (select a, b from und)",
     "degree_insights": f"with {_EDGE} select node, count(*) as degree from (select a as node from ed union all select b from ed) group by 1",
     "two_hop_expand": f"with {_EDGE}, bo as (select a, b from ed where a <> b union select b, a from ed where a <> b), s as (select distinct a as node from ed order by 1 limit 5), h1 as (select distinct b as node from bo join s on a = s.node where b not in (select node from s)), h2 as (select distinct b as node from bo join h1 on a = h1.node where b not in (select node from s) and b not in (select node from h1)) select node, 1 as hop, 3.0::double as score from h1 union all select node, 2, 1.5 from h2",
     "content_hash_dedupe": "select 'sha256:' || sha256(coalesce(title, '') || chr(10) || text) as content_hash, min(doc_id) as doc_id, count(*) as copies from documents where text is not null group by 1",
