@@ -13,11 +13,6 @@ from pyspark.sql.types import StringType
 STOP_WORDS = ["and", "are", "for", "how", "the", "what", "when", "where", "which", "who", "why"]
 STOP_HAN = ["什么", "如何", "多少", "时候", "的是", "一下"]
 
-# Letters with an accent and the letters without, for listings that ignore accents.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-
-
 @F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition, over Arrow batches; Spark has no such function."""
@@ -28,14 +23,9 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def unaccent(col: Column | str) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(_c(col)), ACCENTED, PLAIN)
-
-
 def contains_unaccented(col: Column | str, needle: str) -> Column:
-    """Substring, ignoring case and accents; the needle's wildcards are plain characters."""
-    return F.contains(unaccent(col), unaccent(F.lit(needle)))
+    """Substring, ignoring case and accents of any script, by Unicode's collation; the needle's wildcards are plain characters."""
+    return F.contains(F.collate(_c(col), "UNICODE_CI_AI"), F.collate(F.lit(needle), "UNICODE_CI_AI"))
 
 
 def like_escaped(needle: str) -> str:
@@ -108,6 +98,15 @@ def error_code(col: Column | str) -> Column:
     return F.substring(F.regexp_replace(F.lower(_c(col)), "[^a-z0-9_-]", "_"), 1, 80)
 
 
+def error_class(col: Column | str) -> Column:
+    """The class of an error code: some codes by equality, the others by what they contain, the first that fits; null or empty has none."""
+    c = F.lower(_c(col))
+    part = lambda *xs: c.rlike("|".join(xs))
+    kind = F.when(c == "page_timeout", "budget_timeout").when(part("provider", "llm") | c.isin("rate_limited", "invalid_output"), "provider")
+    kind = kind.when(part("publication", "import", "merge"), "publication").when(part("storage", "database", "embedding", "job"), "infrastructure")
+    return F.when(c != "", kind.otherwise("other"))
+
+
 def error_message(col: Column | str) -> Column:
     return F.substring(F.trim(F.regexp_replace(_c(col), r"[\x00-\x1f\x7f]+", " ")), 1, 500)
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -104,63 +107,71 @@ def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     return start + len(body) - len(body.lstrip()), end - (len(body) - len(body.rstrip()))
 
 
-def _cuts(text: str, start: int, end: int, most: int) -> Iterator[tuple[int, int]]:
-    """Pieces of a block that is too long, cut at the last end of line or sentence in the second half."""
-    while start < end:
-        stop = min(start + most, end)
-        if stop < end:
-            window = text[start:stop]
-            last = max(window.rfind("\n"), *(window.rfind(mark) + 1 for mark in ("。", ". ", "；")))
-            if last >= most // 2:
-                stop = start + last
-        a, b = _trimmed(text, start, stop)
-        if a < b:
-            yield a, b
-        start = stop
+# Where a long block may be cut, before the end of a line or behind the end of a sentence.
+BREAK = re.compile(r"\n|[。；]|\. ")
+
+
+def _split(text: str, start: int, end: int, most: int) -> list[tuple[int, int]]:
+    """A long block as pieces of ``most`` characters or fewer.
+
+    All its breaks are found once; a piece ends at the last break in its second half, or is full.
+    """
+    found = [(m.end() - 1, m.start() + (m[0] != "\n")) for m in BREAK.finditer(text, start, end)]
+    last = [at for at, _ in found]
+    edges = [start]
+    while end - edges[-1] > most:
+        full = edges[-1] + most
+        k = bisect_left(last, full) - 1
+        edges.append(found[k][1] if k >= 0 and found[k][1] - edges[-1] >= most // 2 else full)
+    spans = [_trimmed(text, a, z) for a, z in itertools.pairwise([*edges, end])]
+    return [(a, z) for a, z in spans if a < z]
 
 
 def _pieces(text: str, blocks: list[_Block], most: int) -> Iterator[tuple[int, int]]:
     """Neighbouring blocks together as long as they fit; one that stands for itself begins a piece."""
-    held: tuple[int, int] | None = None
+    spans: list[list[int]] = []
     for b in blocks:
         a, z = _trimmed(text, b.start, b.end)
         if a >= z:
             continue
-        if held and z - a <= most and not b.whole and z - held[0] <= most:
-            held = held[0], z
-            continue
-        if held:
-            yield held
-        held = None
-        if z - a > most:
-            yield from _cuts(text, a, z, most)
+        if spans and not b.whole and z - spans[-1][0] <= most:
+            spans[-1][1] = z
         else:
-            held = a, z
-    if held:
-        yield held
+            spans.append([a, z])
+    return itertools.chain.from_iterable(_split(text, a, z, most) for a, z in spans)
 
 
 def _sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+# What the keys of chunks are digests of.
+PARENT_KEY, CHILD_KEY, INTRO, HEADING_JOIN, CRUMB_JOIN = "parent|{}|{}", "child|{}|{}|{}", "(intro)", "\x1f", " > "
+
+
+def _numbered(names: Iterable[str]) -> Iterator[tuple[str, int]]:
+    """Each name with how many times it has come up so far."""
+    seen: Counter[str] = Counter()
+    for n in names:
+        seen[n] += 1
+        yield n, seen[n]
+
+
 def chunk_text(title: str | None, text: str | None, most: int = MOST_CHARACTERS) -> list[dict]:
     """The chunks of one text. Every chunk's text is text[start_offset:end_offset]."""
+    text = text or ""
+    sections = [s for s in _sections(text) if text[s.start : s.end].strip()]
+    parents = [_sha(PARENT_KEY.format(*x)) for x in _numbered(HEADING_JOIN.join(s.path) or INTRO for s in sections)]
     out: list[dict] = []
-    seen_paths: dict[str, int] = {}
-    for s in _sections(text or ""):
-        if _trimmed(text, s.start, s.end)[0] >= _trimmed(text, s.start, s.end)[1]:
-            continue
-        name = "\x1f".join(s.path) or "(intro)"
-        seen_paths[name] = seen_paths.get(name, 0) + 1
-        parent = _sha(f"parent|{name}|{seen_paths[name]}")
-        seen: dict[str, int] = {}
-        crumb = " > ".join(x for x in (title or "", *s.path) if x)
-        for a, z in _pieces(text, s.blocks, most):
+    for s, parent in zip(sections, parents):
+        spans = list(_pieces(text, s.blocks, most))
+        crumb = CRUMB_JOIN.join(filter(None, (title, *s.path)))
+        for (a, z), (same, n) in zip(spans, _numbered(" ".join(text[a:z].split()) for a, z in spans)):
             body = text[a:z]
-            same = " ".join(body.split())
-            seen[same] = seen.get(same, 0) + 1
-            out.append({"parent_key": parent, "stable_key": _sha(f"child|{parent}|{same}|{seen[same]}"), "heading_path": list(s.path), "text": body, "embedding_text": f"{crumb}\n\n{body}" if crumb else body, "start_offset": a, "end_offset": z, "quote_hash": f"sha256:{_sha(body)}"})
+            out.append({
+                "parent_key": parent, "stable_key": _sha(CHILD_KEY.format(parent, same, n)), "heading_path": list(s.path), "text": body,
+                "embedding_text": f"{crumb}\n\n{body}" if crumb else body, "start_offset": a, "end_offset": z, "quote_hash": f"sha256:{_sha(body)}",
+            })
     return out
 
 

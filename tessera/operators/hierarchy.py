@@ -36,19 +36,33 @@ def _numbered(ws: Workspace, nodes: DataFrame, salts: int) -> DataFrame:
     return ws.table(salted_join(keyed, parents, ["key"], heavy_keys(keyed, ["key"], rows), ["n"], salts, hint=None).select("n", "p", "id", "grp"), "numbered")
 
 
-def _peel(ws: Workspace, numbered: DataFrame, salts: int) -> DataFrame:
-    """(v, a): the nodes that no peeling removes or that hang below such, each with a node on its cycle."""
-    state = ws.table(numbered.where("p is not null").select(F.col("n").alias("v"), F.col("p").alias("a")), "peel")
+def _squared(ws: Workspace, state: DataFrame, rows: int, salts: int) -> tuple[DataFrame, int]:
+    ahead = state.select(F.col("v").alias("a"), F.col("a").alias("b"))
+    step = salted_join(state, ahead, ["a"], heavy_keys(state, ["a"], rows), ["v"], salts, how="inner", hint=None)
+    after, rows = ws.counted(step.select("v", F.col("b").alias("a")), "true", "peel")
+    ws.drop(state)
+    return after, rows
+
+
+def _peel(ws: Workspace, numbered: DataFrame, salts: int) -> tuple[DataFrame, int]:
+    """(v, a): the nodes that no peeling removes or that hang below such, each with a node on its cycle; and their number.
+
+    As long as any node of a tree is left, a round removes some. When none is removed, those left run in circles,
+    and squaring goes on until all have come from the paths that lead to a circle onto it.
+    """
+    state, rows = ws.counted(numbered.where("p is not null").select(F.col("n").alias("v"), F.col("p").alias("a")), "true", "peel")
     before = -1
-    while True:
-        rows, left = state.agg(F.count("*"), F.count_distinct("a")).first()
-        if rows == 0 or left == before:
-            return state
-        before = left
-        step = salted_join(state, state.select(F.col("v").alias("a"), F.col("a").alias("b")), ["a"], heavy_keys(state, ["a"], rows), ["v"], salts, how="inner", hint=None)
-        after = ws.table(step.select("v", F.col("b").alias("a")), "peel")
-        ws.drop(state)
-        state = after
+    while rows and rows != before:
+        before = rows
+        state, rows = _squared(ws, state, rows, salts)
+    left = -1
+    while rows:
+        now = state.agg(F.count_distinct("a")).first()[0]
+        if now == left:
+            break
+        left = now
+        state, rows = _squared(ws, state, rows, salts)
+    return state, rows
 
 
 def _smallest_on_circle(ws: Workspace, numbered: DataFrame, on: DataFrame) -> DataFrame:
@@ -96,11 +110,11 @@ def _ranked(ws: Workspace, tour: DataFrame) -> DataFrame:
     points twice as far. Each element is pointed at by one other at most, so no key is heavy. Elements of a
     list that has ended are set aside.
     """
-    state = ws.table(tour.select("e", "a", F.lit(1).cast("long").alias("r"), "d", F.col("e").alias("last")), "rank")
-    while not state.where("a is not null").isEmpty():
+    state, running = ws.counted(tour.select("e", "a", F.lit(1).cast("long").alias("r"), "d", F.col("e").alias("last")), "a is not null", "rank")
+    while running:
         x, y = state.where("a is not null"), state.select(F.col("e").alias("a"), F.col("a").alias("a2"), F.col("r").alias("r2"), F.col("d").alias("d2"), F.col("last").alias("l2"))
         moved = x.join(y, "a").select("e", F.col("a2").alias("a"), (F.col("r") + F.col("r2")).alias("r"), (F.col("d") + F.col("d2")).alias("d"), F.col("l2").alias("last"))
-        after = ws.table(state.where("a is null").unionByName(moved), "rank")
+        after, running = ws.counted(state.where("a is null").unionByName(moved), "a is not null", "rank")
         ws.drop(state)
         state = after
     return state
@@ -120,10 +134,8 @@ def hierarchy(nodes: DataFrame, ws: Workspace | None = None, salts: int = 32) ->
     """
     ws = ws or Workspace(nodes.sparkSession)
     numbered = _numbered(ws, nodes.where("id is not null").select("id", ref_key("parent").alias("parent"), "grp"), salts)
-    cyclic = _peel(ws, numbered, salts)
-    on = cyclic.select("a").distinct()
-    circles = ws.table(_smallest_on_circle(ws, numbered, on), "circles")
-    forest = ws.table(numbered.join(cyclic.select(F.col("v").alias("n")), "n", "left_anti"), "forest")
+    cyclic, endless = _peel(ws, numbered, salts)
+    forest = ws.table(numbered.join(cyclic.select(F.col("v").alias("n")), "n", "left_anti"), "forest") if endless else numbered
     ranks = _ranked(ws, _tour(ws, forest, salts))
 
     # Read from its end, the tour is again an Euler tour, with the siblings in rising order; ranks count from there.
@@ -135,9 +147,12 @@ def hierarchy(nodes: DataFrame, ws: Workspace | None = None, salts: int = 32) ->
     roots = spans.where("depth = 0").select("root", F.col("id").alias("root_id"), F.col("grp").alias("root_grp"))
     trees = salted_join(spans, roots, ["root"], heavy_keys(spans, ["root"], spans.count()), ["n"], salts, how="inner", hint=None)
     trees = trees.select("id", "grp", "root_id", "root_grp", "depth", "enter", "leave", F.expr("(leave - enter - 1) div 2").alias("n_descendants"), F.lit("tree").alias("status"), "n", "p")
-    rows = cyclic.count()
+    if not endless:
+        return trees
+    on = cyclic.select("a").distinct()
+    circles = ws.table(_smallest_on_circle(ws, numbered, on), "circles")
     rest = (
-        salted_join(cyclic, circles, ["a"], heavy_keys(cyclic, ["a"], rows), ["v"], salts, how="inner", hint=None).join(numbered.withColumnRenamed("n", "v"), "v").join(on.select(F.col("a").alias("v"), F.lit(True).alias("on")), "v", "left")
+        salted_join(cyclic, circles, ["a"], heavy_keys(cyclic, ["a"], endless), ["v"], salts, how="inner", hint=None).join(numbered.withColumnRenamed("n", "v"), "v").join(on.select(F.col("a").alias("v"), F.lit(True).alias("on")), "v", "left")
         .select("id", "grp", "root_id", F.lit(None).cast("string").alias("root_grp"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("long").alias("enter"), F.lit(None).cast("long").alias("leave"), F.lit(None).cast("long").alias("n_descendants"), F.when(F.col("on"), "circle").otherwise("below").alias("status"), F.col("v").alias("n"), "p")
     )
     return trees.unionByName(rest)

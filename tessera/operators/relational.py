@@ -50,16 +50,23 @@ def keyset_after(fields: list[Field], values: list, backward: bool = False) -> C
     out = F.lit(False)
     for (name, desc), value in reversed(list(zip(fields, values, strict=True))):
         c = F.col(name)
-        ahead = (c < F.lit(value)) if desc != backward else (c > F.lit(value))
-        out = ahead | ((c == F.lit(value)) & out)
+        if value is None:  # behind null there is nothing, before it all that isn't null
+            ahead, same = (c.isNotNull() if backward else F.lit(False)), c.isNull()
+        else:
+            ahead, same = ((c < F.lit(value)) if desc != backward else (c > F.lit(value))), F.coalesce(c == F.lit(value), F.lit(False))
+            ahead = F.coalesce(ahead, F.lit(not backward))
+        out = ahead | (same & out)
     return out
 
 
 def keyset_page(df: DataFrame, fields: list[Field], limit: int, after: list | None = None, before: list | None = None) -> DataFrame:
-    """One row more than the page, whose presence says that there is a next page."""
+    """One row more than the page, whose presence says that there is a next page; backwards, the nearest rows first.
+
+    Null values come last; a cursor may hold null.
+    """
     backward = before is not None
     at = before if backward else after
-    order = [F.col(c).desc() if d != backward else F.col(c).asc() for c, d in fields]
+    order = [(F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_last()) if not backward else (F.col(c).asc_nulls_first() if d else F.col(c).desc_nulls_first()) for c, d in fields]
     return (df.where(keyset_after(fields, at, backward)) if at is not None else df).orderBy(*order).limit(limit + 1)
 
 

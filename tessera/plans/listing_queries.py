@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import contains_unaccented, error_code, last_part
+from tessera.functions.text import contains_unaccented, error_class, error_code, last_part
 from tessera.operators.relational import blend, first_rows, keyset_page, offset_page, quota_selection, set_diff, three_way_diff, winning_rows
 from tessera.sources.tables import current_rows, read_table, ref_key
 
@@ -114,11 +114,9 @@ def run_status_counts(spark, d):
 
 
 def failure_classes(spark, d):
-    """Failed pages of runs by the first class that fits their error code."""
+    """Failed pages of runs by the first class that fits their error code; without a code they have none."""
     r = current(spark, d, RUN_PAGES, "status", "merge_status", "error_code").where("status = 'failed' or merge_status = 'failed'")
-    has = lambda *xs: F.coalesce(F.lower("error_code").rlike("|".join(xs)), F.lit(False))
-    kind = F.when(has("timeout"), "timeout").when(has("provider", "llm", "rate_limited", "invalid_output"), "provider").when(has("publication", "import", "merge"), "publication").when(has("storage", "database", "job", "embedding"), "infrastructure").otherwise("other")
-    return r.groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
+    return r.groupBy(error_class("error_code").alias("class")).agg(F.count("*").alias("n"))
 
 
 def image_rollup(spark, d):
@@ -136,6 +134,11 @@ def spaces_keyset(spark, d):
     return keyset_page(g, [("n_pages", True), ("space_id", False)], 10, after=[30, ""])
 
 
+def titles_keyset(spark, d):
+    """The page before a cursor in the order of titles, pages without one last: backwards, so nearest to the cursor first."""
+    return keyset_page(live_pages(spark, d, "title"), [("title", False), ("id", False)], 25, before=[None, "8"])
+
+
 def page_cards(spark, d):
     """Pages with their attachments' names, their parent's title and whether they have children."""
     p = live_pages(spark, d, "title", "slug_id", "parent_page_id").withColumn("parent", ref_key("parent_page_id"))
@@ -174,15 +177,29 @@ def audit_rates(spark, d):
 
 
 def quality_report(spark, d):
-    """Health of each space: sources and chunks are aggregated by page before they are joined."""
+    """Health of each space: sources, chunks and restrictions are aggregated by page before they are joined.
+
+    A source counts whatever its state. A page's access policy is stale if a restriction of it was changed
+    after the page's sources were last written.
+    """
     p = live_pages(spark, d, "space_id", "text_content").select(F.col("id").alias("page_id"), "space_id", (F.coalesce(F.length("text_content"), F.lit(0)) > 0).alias("has_text"))
-    s = current(spark, d, "knowledge_sources", "source_page_id", "stale_at", "deleted_at").where("deleted_at is null").groupBy(ref_key("source_page_id").alias("page_id")).agg(F.count("*").alias("n"), F.count("stale_at").alias("stale"), F.min("stale_at").alias("oldest"))
-    c = read_table(spark, d, "knowledge_chunks").select("id", ref_key("knowledge_page_id").alias("page_id"), F.col("embedding").isNull().alias("bare")).groupBy("page_id").agg(F.count_distinct("id").alias("chunks"), F.bool_or("bare").alias("bare"))
-    j = p.join(s, "page_id", "left").join(c, "page_id", "left")
-    no = lambda x: F.coalesce(F.col(x), F.lit(0))
-    minus = F.when(no("stale") > 0, 30).otherwise(0) + F.when(F.col("has_text") & (no("n") == 0), 35).otherwise(0) + F.when(F.col("has_text") & (no("chunks") == 0), 35).otherwise(0) + F.when(F.coalesce("bare", F.lit(False)), 40).otherwise(0)
-    h = j.withColumn("score", F.greatest(F.lit(0), 100 - minus))
-    g = h.groupBy("space_id").agg(F.count("*").alias("pages"), F.count_if(no("chunks") > 0).alias("compiled"), F.count_if(no("stale") > 0).alias("stale"), F.count_if(F.col("has_text") & (no("n") == 0)).alias("no_source"), F.count_if(F.coalesce("bare", F.lit(False))).alias("no_embedding"), F.min("oldest").alias("oldest_stale_at"), F.sum("score").alias("score_sum"))
+    s = current(spark, d, "knowledge_sources", "source_page_id", "stale_at", "updated_at").groupBy(ref_key("source_page_id").alias("page_id"))
+    s = s.agg(F.count("*").alias("n"), F.count("stale_at").alias("stale"), F.min("stale_at").alias("oldest"), F.max("updated_at").alias("written"))
+    c = read_table(spark, d, "knowledge_chunks").select("id", ref_key("knowledge_page_id").alias("page_id"), F.col("embedding").isNull().alias("bare"))
+    c = c.groupBy("page_id").agg(F.count_distinct("id").alias("chunks"), F.bool_or("bare").alias("bare"))
+    a = current(spark, d, "page_access", "page_id", "updated_at").groupBy(ref_key("page_id").alias("page_id")).agg(F.max("updated_at").alias("changed"))
+    j = p.join(s, "page_id", "left").join(c, "page_id", "left").join(a, "page_id", "left")
+    no = lambda x: F.coalesce(F.col(x), F.lit(0)) == 0
+    j = j.select(
+        "space_id", "oldest", (~no("chunks")).alias("has_chunks"), (~no("stale")).alias("old_source"), F.coalesce(F.col("changed") > F.col("written"), F.lit(False)).alias("old_policy"),
+        (F.col("has_text") & no("n")).alias("no_source"), (F.col("has_text") & no("chunks")).alias("no_chunks"), F.coalesce("bare", F.lit(False)).alias("no_embedding"),
+    )
+    old = F.col("old_source") | F.col("old_policy")
+    minus = [F.when(bad, n).otherwise(0) for bad, n in ((old, 30), (F.col("no_source"), 35), (F.col("no_chunks"), 35), (F.col("no_embedding"), 40))]
+    g = j.withColumn("score", F.greatest(F.lit(0), 100 - sum(minus))).groupBy("space_id").agg(
+        F.count("*").alias("pages"), F.count_if("has_chunks").alias("compiled"), F.count_if(old).alias("stale"), *[F.count_if(c).alias(c) for c in ("old_source", "old_policy", "no_source", "no_chunks", "no_embedding")],
+        F.min("oldest").alias("oldest_stale_at"), F.sum("score").alias("score_sum"),
+    )
     return g.withColumn("health", F.floor(F.col("score_sum") / F.col("pages") + 0.5).cast("long"))
 
 
@@ -195,7 +212,7 @@ def reuse_decision(spark, d):
     return last.join(src, "page_id", "left").select("page_id", F.coalesce(ok, F.lit(False)).alias("reuse"))
 
 
-_NAMES = (listing_unaccented, documents_keyset, latest_then_filter, winning_run_rows, keep_newest, orders_offset_page, backlink_set_diff, source_versions_diff, trash_roots, removed_sources, principals_per_access, run_diagnostics, run_status_counts, failure_classes, image_rollup, spaces_keyset, page_cards, chat_tail, chunk_quota, blended_results, audit_rates, quality_report, reuse_decision)
+_NAMES = (listing_unaccented, documents_keyset, latest_then_filter, winning_run_rows, keep_newest, orders_offset_page, backlink_set_diff, source_versions_diff, trash_roots, removed_sources, principals_per_access, run_diagnostics, run_status_counts, failure_classes, image_rollup, spaces_keyset, titles_keyset, page_cards, chat_tail, chunk_quota, blended_results, audit_rates, quality_report, reuse_decision)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _RP = CUR.format(RUN_PAGES)
@@ -214,20 +231,31 @@ SQL = {
     "principals_per_access": f"with p as (select {KEY.format('page_access_id')} as a, user_id, group_id, role from {CUR.format('page_permissions')}), b as (select a, 'u:' || user_id as who, role from p union all select a, 'g:' || group_id, role from p) select a as page_access_id, count(distinct who) as members, arg_max(role, case role when 'writer' then 2 when 'reader' then 1 else 0 end) as highest_role from b where a is not null group by a",
     "run_diagnostics": f"select count(*) filter (status in ('queued', 'compiling', 'aggregate_pending', 'aggregating')) as active, count(*) filter (status = 'queued') as queued, count(*) filter (status in ('succeeded', 'partial') and finished_at >= timestamp '2026-06-01' - interval 720 hours and finished_at < '2026-06-01') as recent_completed, count(*) filter (status = 'failed' and finished_at >= timestamp '2026-06-01' - interval 720 hours and finished_at < '2026-06-01') as recent_failed, min(queued_at) filter (status = 'queued') as oldest_queued, count(distinct phase) as phases, count(*) as runs from {CUR.format('knowledge_space_compile_runs')}",
     "run_status_counts": f"select status, phase, count(*) as n from {CUR.format('knowledge_space_compile_runs')} group by all",
-    "failure_classes": f"select case when e like '%timeout%' then 'timeout' when regexp_matches(e, 'provider|llm|rate_limited|invalid_output') then 'provider' when regexp_matches(e, 'publication|import|merge') then 'publication' when regexp_matches(e, 'storage|database|job|embedding') then 'infrastructure' else 'other' end as class, count(*) as n from (select lower(error_code) as e from {_RP} where status = 'failed' or merge_status = 'failed') group by 1",
+    "failure_classes": f"""
+select case when e is null or e = '' then null when e = 'page_timeout' then 'budget_timeout'
+            when contains(e, 'provider') or contains(e, 'llm') or e in ('rate_limited', 'invalid_output') then 'provider'
+            when regexp_matches(e, 'publication|import|merge') then 'publication' when regexp_matches(e, 'storage|database|embedding|job') then 'infrastructure' else 'other' end as class,
+       count(*) as n
+from (select lower(error_code) as e from {_RP} where status = 'failed' or merge_status = 'failed') group by 1""",
     "image_rollup": f"select *, case when expected = 0 then 'none' when succeeded + failed + skipped < expected then 'running' when failed > 0 then 'partial' else 'succeeded' end as state from (select {KEY.format('run_id')} as run_id, coalesce(sum(expected_image_count), 0)::bigint as expected, coalesce(sum(succeeded_image_count), 0)::bigint as succeeded, coalesce(sum(failed_image_count), 0)::bigint as failed, coalesce(sum(skipped_image_count), 0)::bigint as skipped from {_RP} group by 1) where run_id is not null",
     "spaces_keyset": f"select * from (select space_id, count(*) as n_pages from {_LIVE} group by 1) where n_pages < 30 or (n_pages = 30 and space_id > '') order by n_pages desc, space_id limit 11",
+    "titles_keyset": f"select id, title from {_LIVE} where title is not null or id < '8' order by title desc nulls first, id desc limit 26",
     "page_cards": f"with p as (select *, {KEY.format('parent_page_id')} as parent from {_LIVE}), f as (select {KEY.format('page_id')} as pid, string_agg(file_name, '|' order by file_name) as files from {CUR.format('attachments')} where deleted_at is null group by 1) select p.id, coalesce(nullif(p.title, ''), p.slug_id, p.id) as name, u.title as parent_title, coalesce(files, '') as files, p.id in (select parent from p where parent is not null) as has_children, list_last(string_split(p.slug_id, '-')) as slug from p left join f on pid = p.id left join p u on u.id = p.parent",
     "chat_tail": f"with t as (select {KEY.format('chat_id')} as chat_id, id, created_at from {CUR.format('ai_chat_messages')} where deleted_at is null), k as (select * from t where chat_id is not null qualify row_number() over (partition by chat_id order by created_at desc nulls last, id desc) <= 5) select chat_id, id, row_number() over (partition by chat_id order by created_at, id) as position from k",
     "chunk_quota": "with c as (select distinct id, chunk_role, start_offset from knowledge_chunks where stale_at is null), k as (select *, row_number() over (partition by chunk_role order by start_offset desc nulls last, id) as k from c), p as (select *, case when k <= case when chunk_role in ('summary', 'text') then 10 else 0 end then 0 when chunk_role <> 'summary' then 1 end as picked from k) select id, chunk_role, picked from p where picked is not null order by picked, start_offset desc nulls last, id limit 40",
     "blended_results": "with o as (select o_orderkey as k, min(o_custkey) * 1000000 + o_orderkey as r, min(o_orderpriority) as p from orders group by o_orderkey), d as (select k, r from o where p = '1-URGENT' order by r limit 20), g as (select k, r from o where p in ('1-URGENT', '5-LOW') and k not in (select k from d) order by r limit 20), s as (select least(count(*), 5, 19) as share from g), a as (select k, 'direct' as origin, row_number() over (order by r) as own from d union all select k, 'graph', row_number() over (order by r) from g), b as (select a.*, case when origin = 'direct' then own > 20 - share else own > share end as late from a, s), t as (select * from b order by late, origin, own limit 20) select k, origin, row_number() over (order by late, origin, own) as position from t",
     "audit_rates": "select round(avg((k = 0)::int::double), 6) as zero_rate, round(avg(k), 6) as avg_k, round(avg(coalesce(value, 0)), 6) as avg_value, count(*) as n from (select value, coalesce((props::json->>'$.k')::double, 0) as k from events order by ts desc, event_id desc limit 1000)",
-    "quality_report": f"""with p as (select id as page_id, space_id, coalesce(length(text_content), 0) > 0 as has_text from {_LIVE}),
-s as (select {KEY.format('source_page_id')} as page_id, count(*) as n, count(stale_at) as stale, min(stale_at) as oldest from {CUR.format('knowledge_sources')} where deleted_at is null group by 1),
-c as (select {KEY.format('knowledge_page_id')} as page_id, count(distinct id) as chunks, bool_or(embedding is null) as bare from knowledge_chunks group by 1),
-h as (select p.*, coalesce(n, 0) as n, coalesce(stale, 0) as stale, oldest, coalesce(chunks, 0) as chunks, coalesce(bare, false) as bare from p left join s using (page_id) left join c using (page_id)),
-g as (select space_id, count(*) as pages, count(*) filter (chunks > 0) as compiled, count(*) filter (stale > 0) as stale, count(*) filter (has_text and n = 0) as no_source, count(*) filter (bare) as no_embedding, min(oldest) as oldest_stale_at,
-  sum(greatest(0, 100 - case when stale > 0 then 30 else 0 end - case when has_text and n = 0 then 35 else 0 end - case when has_text and chunks = 0 then 35 else 0 end - case when bare then 40 else 0 end))::bigint as score_sum from h group by 1)
+    "quality_report": f"""
+with p as (select id as page_id, space_id, coalesce(length(text_content), 0) > 0 as has_text from {_LIVE}),
+s as (select {KEY.format('source_page_id')} as page_id, count(*) as n, count(stale_at) as stale, min(stale_at) as oldest, max(updated_at) as written from {CUR.format('knowledge_sources')} group by 1),
+c as (select {KEY.format('knowledge_page_id')} as page_id, count(distinct id) as chunks, count(*) filter (embedding is null) as bare from knowledge_chunks group by 1),
+a as (select {KEY.format('page_id')} as page_id, max(updated_at) as changed from {CUR.format('page_access')} group by 1),
+h as (select p.*, coalesce(n, 0) = 0 as bare_source, coalesce(stale, 0) > 0 as old_source, coalesce(changed > written, false) as old_policy, oldest, coalesce(chunks, 0) as chunks, coalesce(bare, 0) > 0 as bare
+      from p left join s using (page_id) left join c using (page_id) left join a using (page_id)),
+g as (select space_id, count(*) as pages, count(*) filter (chunks > 0) as compiled, count(*) filter (old_source or old_policy) as stale, count(*) filter (old_source) as old_source, count(*) filter (old_policy) as old_policy,
+  count(*) filter (has_text and bare_source) as no_source, count(*) filter (has_text and chunks = 0) as no_chunks, count(*) filter (bare) as no_embedding, min(oldest) as oldest_stale_at,
+  sum(greatest(0, 100 - case when old_source or old_policy then 30 else 0 end - case when has_text and bare_source then 35 else 0 end - case when has_text and chunks = 0 then 35 else 0 end - case when bare then 40 else 0 end))::bigint as score_sum
+  from h group by 1)
 select *, floor(score_sum / pages + 0.5)::bigint as health from g""",
     "reuse_decision": f"with l as (select *, {KEY.format('source_page_id')} as page_id from {_RP} where status = 'succeeded'), b as (select * from l where page_id is not null qualify row_number() over (partition by page_id order by finished_at desc nulls last, id desc) = 1), s as (select {KEY.format('source_page_id')} as pid, max(updated_at) as written from {CUR.format('knowledge_sources')} where stale_at is null and deleted_at is null group by 1) select page_id, coalesce(written <= finished_at and coalesce(expected_image_count, 0) <= 50, false) as reuse from b left join s on pid = page_id",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -10,7 +11,8 @@ import uuid
 import zipfile
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "tessera", cores: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -89,18 +91,30 @@ class Workspace:
         back._tessera_path = path
         return back
 
+    def counted(self, df: DataFrame, condition: str, name: str = "t") -> tuple[DataFrame, int]:
+        """The same, and how many rows meet a condition, counted while they are written."""
+        seen = Observation()
+        back = self.table(df.observe(seen, F.count_if(F.expr(condition)).alias("n")), name)
+        return back, seen.get["n"]
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             path = getattr(t, "_tessera_path", None)
             if path:
-                jvm = self.spark._jvm
-                target = jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
     def _clean(self) -> None:
+        """At the end of the process, on any file system; if the session has ended, only where no session is needed."""
         where = urlparse(self.root)
         if where.scheme in ("", "file"):
             shutil.rmtree(where.path, ignore_errors=True)
+        elif self.spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):
+                self._delete(self.root)
 
 
 def tasks(spark: SparkSession) -> int:
