@@ -104,9 +104,12 @@ def pack_context(items: DataFrame, group: str, rank: str, body: str, budget: int
     """(group, rank, packed): bodies in order of rank, each clipped to ``most`` characters and to what is left of the budget.
 
     A body takes min(length, most) as long as that is left, so what is left before each is the budget less a
-    running sum, and only the one that crosses the budget is clipped by it.
+    running sum, and only the one that crosses the budget is clipped by it. ``rank`` is unique in its group.
     """
-    want = F.least(F.length(body), F.lit(most))
-    before = F.coalesce(F.sum("__want").over(Window.partitionBy(group).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = items.where(F.length(body) > 0).withColumn("__want", want).withColumn("__left", F.lit(budget) - before).where("__left > 0")
-    return placed.select(group, rank, F.substring(F.col(body), F.lit(1), F.least("__want", "__left").cast("int")).alias("packed"))
+    # The window sees lengths only, and no more rows of a group than characters of the budget; texts join what is left.
+    sizes = items.where(F.length(body) > 0).select(group, rank, F.least(F.length(body), F.lit(most)).alias("__want"))
+    w = Window.partitionBy(group).orderBy(rank)
+    first = sizes.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= budget)
+    before = F.coalesce(F.sum("__want").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = first.withColumn("__left", F.lit(budget) - before).where("__left > 0").select(group, rank, F.least("__want", "__left").cast("int").alias("__take"))
+    return items.select(group, rank, body).join(placed, [group, rank]).select(group, rank, F.substring(F.col(body), F.lit(1), F.col("__take")).alias("packed"))

@@ -372,6 +372,11 @@ _EDGE = f"ed as (select id as a, key as b from (select id, {KEY.format('parent_p
 _SHARED = f"sl as (select distinct {KEY.format('source_page_id')} as n, {KEY.format('run_id')} as s from {CUR.format(RUN_PAGES)}), sh as (select x.n as a, y.n as b, count(*) as shared from sl x join sl y on x.s = y.s and x.n < y.n group by 1, 2)"
 _AA = "dw as (select node, 1 / ln(greatest(count(*), 2)) as w from nb group by 1), aa as (select x.other as a, y.other as b, round(sum(w), 6) as score from nb x join nb y on x.node = y.node and x.other < y.other join dw on dw.node = x.node group by 1, 2)"
 _BURST = "b as (select *, sum(n) over (partition by user_id order by ts, event_id) as g from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 2 hours then 0 else 1 end as n from events where ts is not null and user_id is not null)), bu as (select user_id, count(*) as change_count, min(ts) as first_changed_at, max(ts) as last_changed_at, max(ts) + interval 2 hours as eligible_at from b group by user_id, g)"
+_COOLDOWN = """
+with recursive q as (select *, row_number() over (partition by {keys} order by ts, event_id) as k from events where ts is not null and user_id is not null and event_type is not null),
+f as (select {cols}, k, ts as held, true as ok from q where k = 1
+      union all select {cols_q}, q.k, case when q.ts - f.held >= {gap} then q.ts else f.held end, q.ts - f.held >= {gap} from f join q on {same} and q.k = f.k + 1)
+select {cols} from f where ok"""
 SQL = {
     "bm25_topk": f"with {_BM25} select * from bm",
     "dense_topk_cosine": f"with {_DENSE} select * from de",
@@ -414,4 +419,10 @@ select r.page_access_id, h.user_id from req r join held h on h.aid = r.aid group
     "debounce_bursts": f"with {_BURST} select * from bu",
     "due_bursts": f"with {_BURST} select user_id, count(*) as due, sum(change_count)::bigint as changes from bu where eligible_at <= '2024-01-10' group by 1",
     "type_changes": "select event_id, ts, user_id, event_type from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as bef, row_number() over (partition by user_id order by ts, event_id) as rn from events) where case when rn = 1 then coalesce(event_type, '') <> '' else event_type is distinct from bef end",
+    "cooldown_passed": _COOLDOWN.format(keys="user_id, event_type", gap="interval 7 hours", cols="event_id, ts, user_id, event_type", cols_q="q.event_id, q.ts, q.user_id, q.event_type", same="q.user_id = f.user_id and q.event_type = f.event_type"),
+    "history_throttle": _COOLDOWN.format(keys="user_id", gap="interval 5 minutes", cols="event_id, ts, user_id", cols_q="q.event_id, q.ts, q.user_id", same="q.user_id = f.user_id"),
+    "title_links": r"""
+with t as (select doc_id, space_id, lower(trim(title)) as t from documents where space_id is not null and length(trim(title)) >= 3)
+select distinct d.doc_id as "from", t.doc_id as "to" from documents d join t on t.space_id = d.space_id and t.doc_id <> d.doc_id
+where case when regexp_full_match(t, '[\x00-\x7f]*') then contains(lower(text), t) and regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])' || regexp_escape(t) || '($|[^\p{L}\p{N}_])') else contains(lower(text), t) end""".replace("\\\\", "\\"),
 }

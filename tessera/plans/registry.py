@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.plans import core_queries, knowledge_queries, listing_queries
+from tessera.plans import core_queries, knowledge_queries, listing_queries, wiki_queries
 
-_MODULES = [core_queries, listing_queries, knowledge_queries]
+_MODULES = [core_queries, listing_queries, knowledge_queries, wiki_queries]
 
 
 def queries() -> dict[str, Callable]:
