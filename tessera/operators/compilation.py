@@ -248,19 +248,29 @@ def title_links(docs: DataFrame, key: str, space: str, title: str, text: str, sh
     return met.join(titles, ["s", "t"]).where(F.col("from") != F.col("to")).select("from", "to").distinct()
 
 
-def semantic_edges(docs: DataFrame, key: str, text: str, least_anchors: int = 2, least_score: float = 6.0, most: int = 6, common_df: int = 4, common_share: float = 0.65) -> DataFrame:
-    """(a, b, anchors, score): documents that share informative terms, at most ``most`` for each a.
+def semantic_edges(docs: DataFrame, key: str, text: str, group: str, linked: DataFrame | None = None, least_anchors: int = 2, least_score: float = 6.0, most: int = 6, common_df: int = 4, common_share: float = 0.65) -> DataFrame:
+    """(a, b, anchors, score): documents of a group that share informative terms, at most ``most`` for each a.
 
-    Terms that too many documents have are cut before the self join (df of common_df or more and a share of
-    common_share or more); a term's weight is its inverse frequency by its length, counted up to four times.
+    Terms that too many documents of the group have are cut before the self join (df of common_df or more and a
+    share of common_share or more); a term's weight is its inverse frequency by its length, counted up to four
+    times. Of the terms that two documents share, those within a longer one are no anchors of their own. Pairs
+    in ``linked`` (a, b, in either order) are left out. Null texts and groups have no edges.
     """
-    terms = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.explode(semantic_terms(text)).alias("term"))
-    n = docs.where(F.col(text).isNotNull()).agg(F.count("*").alias("N"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df")).where("df > 1").crossJoin(F.broadcast(n))  # n is one row
+    ws = Workspace(docs.sparkSession)
+    live = docs.where(F.col(text).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(text).alias("x"))
+    terms = ws.table(live.select("g", "k", F.explode(semantic_terms("x")).alias("term")), "terms")
+    n = live.groupBy("g").agg(F.count("*").alias("N"))
+    df = terms.groupBy("g", "term").agg(F.count("*").alias("df")).where("df > 1").join(n, "g")
     weight = F.round((F.log((F.col("N") + 1) / (F.col("df") + 1)) + 1) * F.greatest(F.lit(1.0), F.least(F.lit(4.0), F.length("term") / 4)), 6)
-    kept = terms.join(df.where(f"not (df >= {common_df} and df >= {common_share} * N)").select("term", weight.alias("w")), "term")
-    pairs = kept.withColumnRenamed("k", "a").join(kept.select(F.col("k").alias("b"), "term"), "term").where("a < b").groupBy("a", "b").agg(F.count("*").alias("anchors"), F.round(F.sum("w"), 4).alias("score"))
-    good = pairs.where((F.col("anchors") >= least_anchors) & (F.col("score") >= least_score))
+    kept = ws.table(terms.join(df.where(f"not (df >= {common_df} and df >= {common_share} * N)").select("g", "term", weight.alias("w")), ["g", "term"]), "kept")
+    pairs = kept.withColumnRenamed("k", "a").join(kept.select("g", F.col("k").alias("b"), "term"), ["g", "term"]).where("a < b")
+    shared = pairs.groupBy("a", "b").agg(F.collect_list(F.struct("term", "w")).alias("ts")).where(F.size("ts") >= least_anchors)
+    if linked is not None:
+        both = linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        shared = shared.join(both, ["a", "b"], "left_anti")
+    longest = F.filter("ts", lambda t: ~F.exists("ts", lambda u: (u["term"] != t["term"]) & F.contains(u["term"], t["term"])))
+    scored = shared.withColumn("ts", longest).select("a", "b", F.size("ts").alias("anchors"), F.round(F.aggregate("ts", F.lit(0.0), lambda s, t: s + t["w"]), 4).alias("score"))
+    good = scored.where((F.col("anchors") >= least_anchors) & (F.col("score") >= least_score))
     w = Window.partitionBy("a").orderBy(F.col("score").desc(), "b")
     return good.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
 

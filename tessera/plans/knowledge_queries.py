@@ -276,8 +276,10 @@ def title_links(spark, d):
 
 
 def semantic_edges(spark, d):
-    t = read_table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    return compilation.semantic_edges(t, "p_partkey", "text")
+    """Documents of a space that share informative terms and don't mention each other's title."""
+    t = spread(read_table(spark, d, "documents").select("doc_id", "space_id", "text"))
+    links = title_links(spark, d).select(F.col("from").alias("a"), F.col("to").alias("b"))
+    return compilation.semantic_edges(t, "doc_id", "text", "space_id", links)
 
 
 def contribution_actions(spark, d):
@@ -422,7 +424,9 @@ select r.page_access_id, h.user_id from req r join held h on h.aid = r.aid group
     "cooldown_passed": _COOLDOWN.format(keys="user_id, event_type", gap="interval 7 hours", cols="event_id, ts, user_id, event_type", cols_q="q.event_id, q.ts, q.user_id, q.event_type", same="q.user_id = f.user_id and q.event_type = f.event_type"),
     "history_throttle": _COOLDOWN.format(keys="user_id", gap="interval 5 minutes", cols="event_id, ts, user_id", cols_q="q.event_id, q.ts, q.user_id", same="q.user_id = f.user_id"),
     "title_links": r"""
-with t as (select doc_id, space_id, lower(trim(title)) as t from documents where space_id is not null and length(trim(title)) >= 3)
-select distinct d.doc_id as "from", t.doc_id as "to" from documents d join t on t.space_id = d.space_id and t.doc_id <> d.doc_id
-where case when regexp_full_match(t, '[\x00-\x7f]*') then contains(lower(text), t) and regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])' || regexp_escape(t) || '($|[^\p{L}\p{N}_])') else contains(lower(text), t) end""".replace("\\\\", "\\"),
+with t as materialized (select doc_id, space_id, lower(trim(title)) as t from documents where space_id is not null and length(trim(title)) >= 3),
+d as materialized (select doc_id, space_id, lower(text) as x from documents where text is not null),
+c as materialized (select d.doc_id as f, t.doc_id as g, x, t from d join t on t.space_id = d.space_id and t.doc_id <> d.doc_id where contains(x, t))
+select distinct f as "from", g as "to" from c
+where not regexp_full_match(t, '[\x00-\x7f]*') or regexp_matches(x, '(^|[^\p{L}\p{N}_])' || regexp_escape(t) || '($|[^\p{L}\p{N}_])')""",
 }

@@ -58,3 +58,74 @@ def test_validation(spark):
     df = spark.createDataFrame(rows, "id string, text string, start_offset int, end_offset int, source_key string").withColumn("quote_hash", t.sha(F.lit("two")))
     got = {r.id: list(r.reasons) for r in c.validation_reasons(df, sources, "id").collect()}
     assert got == {"ok": [], "range": ["range"], "hash": ["quote_hash"], "lost": ["unknown_source"], "none": ["missing_lineage"]}
+
+
+def test_semantic_edges_against_brute_force(spark):
+    """Shared terms within longer ones don't count again; linked pairs are left out; groups don't meet."""
+    import itertools
+    import math
+    import random
+
+    rng = random.Random(2)
+    words = ["alpha", "betagamma", "deltaepsilon", "zeta", "common", "知识管理", "数据平台"]
+    texts = {i: " ".join([*rng.sample(words, rng.randrange(1, 5)), "common"]) for i in range(24)}
+    group = {i: "g" if i % 3 else "h" for i in texts}
+    rows = [(i, group[i], t) for i, t in texts.items()] + [(90, "g", None), (91, None, "alpha betagamma"), (92, "g", "")]
+    linked = [(1, 2), (5, 4)]
+
+    def terms(t):
+        out = {w for w in t.split() if w.isascii()}
+        for w in t.split():
+            if not w.isascii():
+                out |= {w[a : a + n] for n in (2, 3, 4) for a in range(len(w) - n + 1)}
+        return out
+
+    want = {}
+    for g in "gh":
+        mine = {i: terms(t) for i, t in texts.items() if group[i] == g}
+        total = len(mine) + (g == "g")
+        df = {t: sum(t in m for m in mine.values()) for t in set().union(*mine.values())}
+        ok = {t: round((math.log((total + 1) / (n + 1)) + 1) * max(1.0, min(4.0, len(t) / 4)), 6) for t, n in df.items() if n > 1 and not (n >= 4 and n >= 0.65 * total)}
+        for a, b in itertools.combinations(sorted(mine), 2):
+            both = [t for t in mine[a] & mine[b] if t in ok]
+            top = [t for t in both if not any(t != u and t in u for u in both)]
+            score = round(sum(ok[t] for t in top), 4)
+            if len(top) >= 2 and score >= 3 and (a, b) not in {tuple(sorted(x)) for x in linked}:
+                want.setdefault(a, []).append((-score, b, len(top)))
+    want = {(a, b): (n, -s) for a, xs in want.items() for s, b, n in sorted(xs)[:3]}
+    from tessera.operators.compilation import semantic_edges
+
+    df = spark.createDataFrame(rows, "doc_id long, space string, text string")
+    got = {(r.a, r.b): (r.anchors, round(r.score, 4)) for r in semantic_edges(df, "doc_id", "text", "space", spark.createDataFrame(linked, "a long, b long"), least_score=3.0, most=3).collect()}
+    assert {k: (n, round(s, 3)) for k, (n, s) in got.items()} == {k: (n, round(s, 3)) for k, (n, s) in want.items()}
+
+
+def test_search_expressions(spark):
+    from tessera.operators import search
+
+    df = spark.createDataFrame([(1, "The OUTLINE, draft two"), (2, "outline the draft"), (3, "a policy-import note"), (4, "policy import locked"), (5, None), (6, "")], "id int, text string")
+    find = lambda q: [r.id for r in df.where(search.web_matches("text", q)).orderBy("id").collect()]
+    assert find('"the outline" draft or policy -locked') == [1, 3]
+    assert find("outline") == [1, 2] and find('"import note"') == [3] and find("-policy draft") == [1, 2] and find(" ?! ") == []
+    assert [r.id for r in df.where(search.prefix_matches("text", "out dra*")).orderBy("id").collect()] == [1, 2]
+    assert df.select(search.snippet("text", ["draft"], 2, 1).alias("s")).first().s == "draft two"
+
+
+def test_keyset_pages_with_nulls(spark):
+    from tessera.operators.relational import keyset_page
+
+    rows = [(i, None if i % 3 == 0 else f"t{i % 4}") for i in range(20)]
+    df = spark.createDataFrame(rows, "id int, title string")
+    fields = [("title", False), ("id", False)]
+    order = sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[0]))
+    seen, at = [], None
+    while True:
+        page = keyset_page(df, fields, 3, after=at).collect()
+        seen += [(r.id, r.title) for r in page[:3]]
+        if len(page) <= 3:
+            break
+        at = [seen[-1][1], seen[-1][0]]
+    assert seen == order
+    for k in (5, 15, 19):  # the pages before a cursor, nearest first
+        back = keyset_page(df, fields, 4, before=[order[k][1], order[k][0]]).collect()
+        assert [(r.id, r.title) for r in back] == order[:k][::-1][:5]
