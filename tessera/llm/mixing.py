@@ -29,8 +29,10 @@ _EDGE = 1e-9
 
 
 def default_tokenizer() -> str:
-    import public_tokenizers
-
+    try:
+        import public_tokenizers
+    except ImportError as e:
+        raise ValueError("pass the path of a tokenizer's ranks as tokenizer; the default one isn't on this machine") from e
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
