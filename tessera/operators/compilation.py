@@ -4,24 +4,31 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import re
 import unicodedata
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.text import semantic_terms
-from tessera.session import Workspace
+from tessera.session import Workspace, tasks
 
 MOST_CHARACTERS = 900
 #: Titles are sought in blocks of about so many bytes (200 and the characters each); more titles take more passes.
 TITLE_BLOCK = 16_000_000
+GROUP_PART = 8192  #: Documents of a group that one task compares with all others of it.
 
 # Markdown's block marks, as regular expressions.
 HEADING = re.compile(r"^(#{1,3})\s+(.+?)\s*$")
@@ -215,8 +222,8 @@ def _titles_in(text: str, index: dict, width: int) -> set[str]:
     return found
 
 
-def title_links(docs: DataFrame, key: str, space: str, title: str, text: str, shortest: int = 3, block: int = TITLE_BLOCK) -> DataFrame:
-    """(from, to): documents whose text mentions another's title, within a space.
+def title_mentions(docs: DataFrame, key: str, space: str, title: str, text: str, shortest: int = 3, block: int = TITLE_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(from, s, t): titles that documents' texts mention, within a space s; (s, to, t): documents of the titles.
 
     Equal titles of a space are sought once. They are taken in blocks of bounded size, each in one pass over
     the texts, which aren't shuffled; at each place of a text, titles are looked up by how they begin and by length.
@@ -244,35 +251,184 @@ def title_links(docs: DataFrame, key: str, space: str, title: str, text: str, sh
     for b in range(blocks):
         mine = sought.where(F.pmod(F.xxhash64("s", "t"), F.lit(blocks)) == b).select("s", "t", "w")
         parts.append(seek(spark.sparkContext.broadcast([tuple(r) for r in mine.collect()])))
-    met = ws.table(reduce(DataFrame.unionByName, parts), "met")
+    return ws.table(reduce(DataFrame.unionByName, parts), "met"), titles
+
+
+def title_links(docs: DataFrame, key: str, space: str, title: str, text: str, shortest: int = 3, block: int = TITLE_BLOCK) -> DataFrame:
+    """(from, to): documents whose text mentions another's title, within a space."""
+    met, titles = title_mentions(docs, key, space, title, text, shortest, block)
     return met.join(titles, ["s", "t"]).where(F.col("from") != F.col("to")).select("from", "to").distinct()
 
 
-def semantic_edges(docs: DataFrame, key: str, text: str, group: str, linked: DataFrame | None = None, least_anchors: int = 2, least_score: float = 6.0, most: int = 6, common_df: int = 4, common_share: float = 0.65) -> DataFrame:
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ...: n numbers of each, one run after the other."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _listed(of: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the values of each of n begin, how many there are, and the values."""
+    size = np.bincount(of, minlength=n)
+    return np.cumsum(size) - size, size, values[np.lexsort((values, of))]
+
+
+def _within(terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(longer, term): which terms lie within which."""
+    lengths, out = sorted({len(t) for t in terms}), []
+    for t, k in terms.items():
+        inner = {terms.get(t[i : i + n]) for n in lengths if n < len(t) for i in range(len(t) - n + 1)} - {None}
+        out += [(k, x) for x in inner]
+    return tuple(np.array(x, np.int64) for x in (zip(*out) if out else ((), ())))
+
+
+@dataclass
+class _Rules:
+    least_anchors: int
+    least_score: float
+    most: int
+    common_df: int
+    common_share: float
+
+
+def _semantic_group(keys: pa.Array, n: int, docs: np.ndarray, terms: pa.DictionaryArray, marks: tuple, bears: tuple, parts: int, part: int, rules: _Rules) -> Iterator[tuple]:
+    """Arrays of (a, b, anchors, score) for the documents a of one part of a group, whose keys are sorted.
+
+    n: documents with those of no key, docs and terms: which document has which term (-1 for no key); marks and
+    bears: (document, mark); a document is linked with those that bear a mark of it. Weights are summed in millionths.
+    """
+    codes, names, total = terms.indices.to_numpy(zero_copy_only=False).astype(np.int64), terms.dictionary.to_pylist(), len(keys)
+    df = np.bincount(codes, minlength=len(names))
+    share = Decimal(str(rules.common_share)) * n
+    kept = {t: k for k, (t, d) in enumerate(zip(names, df.tolist())) if d > 1 and not (d >= rules.common_df and d >= share)}
+    weight, is_kept = np.zeros(len(names), np.int64), np.zeros(len(names), bool)
+    for t, k in kept.items():
+        w = (math.log((n + 1) / (int(df[k]) + 1)) + 1) * max(1.0, min(4.0, len(t) / 4))
+        weight[k], is_kept[k] = int((Decimal(repr(w)) * 1_000_000).to_integral_value(ROUND_HALF_UP)), True
+    use = is_kept[codes] & (docs >= 0)
+    begin, size, posted = _listed(codes[use], docs[use], len(names))  # the documents of each term
+    term = np.repeat(np.arange(len(names)), size)
+    at_first, at_size, at = _listed(posted, np.arange(len(posted)), total)  # each document's places in them
+    longer, inner = _within(kept)
+    inner_first, inner_size, inner = _listed(longer, inner, len(names))
+    n_marks = 1 + max((int(x[1].max(initial=-1)) for x in (marks, bears)), default=-1)
+    of_doc = [_listed(x[0], x[1], total) for x in (marks, bears)]
+    of_mark = [_listed(x[1], x[0], n_marks) for x in (bears, marks)]
+    has, hidden = np.full(len(names), -1), np.zeros(total, bool)
+    for a in range(part, total, parts):
+        p = at[at_first[a] : at_first[a] + at_size[a]]
+        t = term[p]
+        after = begin[t] + size[t] - p - 1
+        p, t, after = (x[after > 0] + k for x, k in ((p, 1), (t, 0), (after, 0)))
+        if len(t) < rules.least_anchors:
+            continue
+        has[t] = np.arange(len(t))
+        within = has[inner[_runs(inner_first[t], inner_size[t])]]
+        by = np.repeat(np.arange(len(t)), inner_size[t])[within >= 0]
+        within = within[within >= 0]
+        has[t] = -1
+        alone = np.ones(len(t), bool)
+        alone[within] = False
+        found, w = [posted[_runs(p[alone], after[alone])]], [np.repeat(weight[t[alone]], after[alone])]
+        order = np.argsort(within, kind="stable")
+        within, by = within[order], by[order]
+        for i, js in zip(np.unique(within), np.split(by, np.flatnonzero(np.diff(within)) + 1)):
+            over = [posted[p[k] : p[k] + after[k]] for k in js]
+            for x in over:
+                hidden[x] = True
+            b = posted[p[i] : p[i] + after[i]]
+            found.append(b[~hidden[b]])
+            w.append(np.full(len(found[-1]), weight[t[i]]))
+            for x in over:
+                hidden[x] = False
+        b = np.concatenate(found) - a
+        anchors = np.bincount(b, minlength=total - a)
+        score = np.bincount(b, weights=np.concatenate(w), minlength=total - a).astype(np.int64)  # whole numbers, exact
+        for (first, many, own), (f, m, others) in zip(of_doc, of_mark):
+            mine = own[first[a] : first[a] + many[a]]
+            gone = others[_runs(f[mine], m[mine])] - a
+            anchors[gone[gone >= 0]] = 0
+        score = (score + 50) // 100
+        good = np.flatnonzero((anchors >= rules.least_anchors) & (score / 1e4 >= rules.least_score))
+        if len(good) > rules.most:
+            good = good[np.argpartition(good - score[good] * total, rules.most)[: rules.most]]
+        if len(good):
+            yield np.full(len(good), a), good + a, anchors[good].astype(np.int32), score[good] / 1e4
+
+
+def _semantic_groups(kind: pa.DataType, rules: _Rules):
+    """Over rows sorted by (g, part), each of a document with its terms, or its marks, or those that it bears."""
+
+    def whole(parts: int, part: int, rows: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        t = pa.concat_tables(rows)
+        of = {c: t.filter(pc.is_valid(t.column(c))) for c in ("terms", "marks", "bears")}
+        docs = of["terms"].column("k").combine_chunks().cast(kind)
+        n, keys = len(docs), docs.drop_null().unique()
+        keys = keys.take(pc.sort_indices(keys))
+
+        def lists(c: str) -> tuple[np.ndarray, pa.Array]:
+            at = pc.fill_null(pc.index_in(of[c].column("k").cast(kind), value_set=keys), -1).to_numpy()
+            values = of[c].column(c).combine_chunks()
+            return np.repeat(at.astype(np.int64), pc.list_value_length(values).to_numpy()), pc.list_flatten(values)
+
+        (d, terms), (m, marks), (b, bears) = (lists(c) for c in ("terms", "marks", "bears"))
+        names = pa.concat_arrays([marks, bears]).unique()
+        code = lambda x: pc.index_in(x, value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
+        linked = [(at[at >= 0], code(x)[at >= 0]) for at, x in ((m, marks), (b, bears))]
+        for x, y, anchors, score in _semantic_group(keys, n, d, terms.dictionary_encode(), *linked, parts, part, rules):
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(x)), keys.take(pa.array(y)), pa.array(anchors), pa.array(score)], ["a", "b", "anchors", "score"])
+
+    def merged(found: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[pa.RecordBatch]:
+        while some := list(itertools.islice(found, most)):
+            yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            own = list(zip(*(batch.column(c).to_pylist() for c in ("g", "part", "parts"))))
+            ends = [k for k in range(1, len(own)) if own[k] != own[k - 1]]
+            for x, y in itertools.pairwise([0, *ends, len(own)]):
+                if x < y and own[x] != at:
+                    if rows:
+                        yield from merged(whole(at[2], at[1], rows))
+                    at, rows = own[x], []
+                rows.append(t.slice(x, y - x).drop_columns(["g", "part", "parts"]))
+        if rows:
+            yield from merged(whole(at[2], at[1], rows))
+
+    return run
+
+
+def semantic_edges(docs: DataFrame, key: str, text: str, group: str, linked: DataFrame | None = None, least_anchors: int = 2, least_score: float = 6.0, most: int = 6, common_df: int = 4, common_share: float = 0.65, named: tuple[DataFrame, DataFrame] | None = None, part: int = GROUP_PART) -> DataFrame:
     """(a, b, anchors, score): documents of a group that share informative terms, at most ``most`` for each a.
 
-    Terms that too many documents of the group have are cut before the self join (df of common_df or more and a
-    share of common_share or more); a term's weight is its inverse frequency by its length, counted up to four
-    times. Of the terms that two documents share, those within a longer one are no anchors of their own. Pairs
-    in ``linked`` (a, b, in either order) are left out. Null texts and groups have no edges.
+    Terms that too many documents of the group have count for nothing (df of common_df or more and a share of
+    common_share or more); a term's weight is its inverse frequency by its length, counted up to four times. Of
+    the terms that two documents share, those within a longer one are no anchors of their own. Pairs in
+    ``linked`` (a, b, in either order) are left out, as are those of ``named`` (see title_mentions), where one
+    mentions the other's title. Null texts and groups have no edges.
+
+    Neither pairs nor shared terms are written or shuffled: a task has the terms of all documents of a group and
+    compares up to ``part`` of these with all others, one at a time by the documents of its terms.
     """
-    ws = Workspace(docs.sparkSession)
     live = docs.where(F.col(text).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(text).alias("x"))
-    terms = ws.table(live.select("g", "k", F.explode(semantic_terms("x")).alias("term")), "terms")
-    n = live.groupBy("g").agg(F.count("*").alias("N"))
-    df = terms.groupBy("g", "term").agg(F.count("*").alias("df")).where("df > 1").join(n, "g")
-    weight = F.round((F.log((F.col("N") + 1) / (F.col("df") + 1)) + 1) * F.greatest(F.lit(1.0), F.least(F.lit(4.0), F.length("term") / 4)), 6)
-    kept = ws.table(terms.join(df.where(f"not (df >= {common_df} and df >= {common_share} * N)").select("g", "term", weight.alias("w")), ["g", "term"]), "kept")
-    pairs = kept.withColumnRenamed("k", "a").join(kept.select("g", F.col("k").alias("b"), "term"), ["g", "term"]).where("a < b")
-    shared = pairs.groupBy("a", "b").agg(F.collect_list(F.struct("term", "w")).alias("ts")).where(F.size("ts") >= least_anchors)
+    n = live.groupBy("g").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    rows = [live.select("g", "k", semantic_terms("x").alias("terms"))]
+    listed = lambda df, c: rows.append(df.groupBy("g", "k").agg(F.collect_list("m").alias(c)))
+    if named is not None:
+        listed(named[0].select(F.col("s").alias("g"), F.col("from").alias("k"), F.col("t").alias("m")), "marks")
+        listed(named[1].select(F.col("s").alias("g"), F.col("to").alias("k"), F.col("t").alias("m")), "bears")
     if linked is not None:
-        both = linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        shared = shared.join(both, ["a", "b"], "left_anti")
-    longest = F.filter("ts", lambda t: ~F.exists("ts", lambda u: (u["term"] != t["term"]) & F.contains(u["term"], t["term"])))
-    scored = shared.withColumn("ts", longest).select("a", "b", F.size("ts").alias("anchors"), F.round(F.aggregate("ts", F.lit(0.0), lambda s, t: s + t["w"]), 4).alias("score"))
-    good = scored.where((F.col("anchors") >= least_anchors) & (F.col("score") >= least_score))
-    w = Window.partitionBy("a").orderBy(F.col("score").desc(), "b")
-    return good.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
+        ids = live.select("g", "k").where("k is not null").distinct()
+        mark = lambda c: F.concat(F.lit("\0"), F.col(c).cast("string")).alias("m")
+        listed(linked.select(F.col("a").alias("k"), mark("b")).join(ids, "k"), "marks")
+        listed(ids.select("g", "k", mark("k")), "bears")
+    whole = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows)
+    whole = whole.withColumns({c: F.lit(None).cast("array<string>") for c in ("marks", "bears") if c not in whole.columns})
+    whole = whole.join(n, "g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = whole.repartition(2 * tasks(docs.sparkSession), "g", "part").sortWithinPartitions("g", "part")
+    kind = docs.schema[key].dataType
+    rules = _Rules(least_anchors, least_score, most, common_df, common_share)
+    return placed.mapInArrow(_semantic_groups(to_arrow_type(kind), rules), f"a {kind.simpleString()}, b {kind.simpleString()}, anchors int, score double")
 
 
 def validation_reasons(chunks: DataFrame, sources: DataFrame, key: str) -> DataFrame:

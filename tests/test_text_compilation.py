@@ -129,3 +129,20 @@ def test_keyset_pages_with_nulls(spark):
     for k in (5, 15, 19):  # the pages before a cursor, nearest first
         back = keyset_page(df, fields, 4, before=[order[k][1], order[k][0]]).collect()
         assert [(r.id, r.title) for r in back] == order[:k][::-1][:5]
+
+
+def test_semantic_edges_without_pairs_of_all_texts(spark):
+    """Parts of a group, and mentioned titles instead of linked pairs, give the same edges; no plan joins texts by terms."""
+    import random
+
+    rng = random.Random(4)
+    words = ["alpha", "alphabet", "betagamma", "gamma", "zeta", "知识管理", "识管", "数据平台", "平台"]
+    rows = [(i, "gh"[i % 3 == 0], f"Title {'ABCD'[i % 4]}{i // 8}", " ".join(rng.sample(words, 4)) + (f" see title {'ABCD'[i % 3]}{i // 9}" if i % 5 == 0 else "")) for i in range(48)]
+    df = spark.createDataFrame(rows, "doc_id long, space string, title string, text string")
+    links = c.title_links(df, "doc_id", "space", "title", "text").select(F.col("from").alias("a"), F.col("to").alias("b"))
+    args = (df, "doc_id", "text", "space")
+    want = sorted(tuple(r) for r in c.semantic_edges(*args, links, least_score=3.0, most=2).collect())
+    free = c.semantic_edges(*args, least_score=3.0, most=2, part=5)
+    named = c.semantic_edges(*args, least_score=3.0, most=2, part=5, named=c.title_mentions(df, "doc_id", "space", "title", "text"))
+    assert want and links.count() and sorted(tuple(r) for r in named.collect()) == want != sorted(tuple(r) for r in free.collect())
+    assert "term" not in " ".join(x for x in free._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x)
